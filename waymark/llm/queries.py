@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.interpolation import interpolated_scores
+from waymark.llm.lengths import length_histogram, limit_report
 from waymark.llm.minhash import near_duplicates
+from waymark.llm.packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +21,23 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(_table(spark, sf_dir, "documents"), order=2)
 
 
+def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limit_report(length_histogram(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_length_histogram": op2_length_histogram,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -33,6 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+_EXACT_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POSITION = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
@@ -91,6 +92,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans ``[start, end)``, letters' case included."""
+    power, inverse = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_EXACT_TABLE[data] * power[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
+
+
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text; a shorter text has its whole sequence as one."""
     sizes = np.diff(offsets)
