@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.interpolation import interpolated_scores
+from waymark.llm.language import identify_languages
 from waymark.llm.lengths import length_histogram, limit_report
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.packing import pack_documents
+from waymark.llm.pii import find_personal_data
+from waymark.llm.secrets import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +36,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op7_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_length_histogram": op2_length_histogram,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_field": op7_language_field,
+    "op8_grammar_inference": op8_grammar_inference,
+    "op10_candidate_boosting": op10_candidate_boosting,
 }
 
 ORACLES: dict[str, str] = {}
