@@ -18,23 +18,24 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     the rows: minima are partial aggregates and the joins back to a hub leave
     one row on the other side, which Spark splits when it is skewed.
     """
-    e = edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct()
-    e = stage.put(e, "edges")
-    mark = None
+    e = edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v")
+    last = None
     while True:
         both = e.unionByName(e.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.join(least, "u").where("v > u").selectExpr("v u", "m v").distinct()
+        large = both.join(least, "u").where("v > u").selectExpr("v u", "m v")
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").where("v <> m").selectExpr("v u", "m v")
-        nxt = stage.put(small.unionByName(first.selectExpr("u", "m v")).distinct(), "edges")
-        row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        stage.drop(e)
-        e = nxt
-        if mark == (row["n"], row["h"]):
+        e = stage.put(small.unionByName(first.selectExpr("u", "m v")).distinct(), "edges")
+        if last is not None:
+            stage.drop(last)
+        last = e
+        # done when every node is either a root or has one parent
+        seen = e.selectExpr("u node", "1 child", "0 parent").unionByName(e.selectExpr("v node", "0 child", "1 parent"))
+        seen = seen.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+        if seen.where("c > 1 or (c = 1 and p = 1)").isEmpty():
             break
-        mark = (row["n"], row["h"])
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = e.selectExpr("u node", "v root")
     return roots.unionByName(e.selectExpr("v node", "v root").distinct())
 
 

@@ -7,9 +7,12 @@ on the full shingle sets and closed transitively.
 
 Exact copies (equal sets) are one class with its least doc_id as representative,
 so they never make pairs.  Within a bucket the members are first compared with
-one leader, over a few rounds of other leaders; whatever is then in one
-component needs no further comparison.  Only buckets that still hold several
-components compare the rest, in blocks of bounded size.
+one leader, the member whose buckets are fullest; whatever is then in one
+component needs no further comparison.  Buckets that still hold several
+components look at the rest in blocks of bounded size.  There the comparison
+with the leader bounds every pair exactly: what two members share lies in the
+leader's set, of which each carries a bitmap, or among their few other
+shingles.  Only pairs that this bound and the signatures allow are verified.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from waymark.plans.staging import Stage
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Rounds of leaders before the remaining pairs of a bucket are compared.
-LEADER_ROUNDS = 3
 #: Members of a bucket compared with each other at once.
 BLOCK = 512
 #: Pairs that share a leader and are verified in one group of rows.
@@ -37,6 +38,8 @@ SALT_ROWS = 256
 #: A pair is verified if its signatures agree on this share less than the threshold
 #: (over five standard deviations at 128 coordinates).
 SLACK = 0.2
+#: Coordinates of the signature of the shingles that a leader lacks.
+OTHERS = 32
 
 _FACTS = "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, sig binary"
 
@@ -115,12 +118,27 @@ def _facts(k: int):
     return run
 
 
-def _verify(k: int, percent: int):
+def _others_signature(values: np.ndarray) -> bytes:
+    """Low bytes of a MinHash signature of the shingles that the leader lacks."""
+    if not len(values):
+        return b""
+    shifted = mix((values[:, None] + np.arange(1, OTHERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(-1))
+    return shifted.reshape(len(values), OTHERS).min(0).astype(np.uint8).tobytes()
+
+
+_VERIFIED = "a long, b long, linked boolean, shared binary, others binary"
+
+
+def _verify(k: int, percent: int, describe: bool):
+    """Whether a and b are linked and, if asked, a's bitmap over b's set and the signature of its other shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last_text, last_set = None, None, None
+        last_id, last_text, last_set = None, None, np.empty(0, U64)
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             linked = np.zeros(len(a), bool)
+            shared: list = [None] * len(a)
+            others: list = [None] * len(a)
             for i in range(0, len(a), 64):
                 own, offsets = sorted_sets(*shingle_hashes(*word_hashes(as_bytes(ta[i : i + 64])), k))
                 for j in range(len(offsets) - 1):
@@ -129,30 +147,63 @@ def _verify(k: int, percent: int):
                         last_id, last_text = b[r], tb[r]
                         last_set = sorted_sets(*shingle_hashes(*word_hashes(as_bytes([last_text])), k))[0]
                     mine = own[offsets[j] : offsets[j + 1]]
-                    small, large = (mine, last_set) if len(mine) < len(last_set) else (last_set, mine)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum())
-                    linked[r] = 100 * both >= percent * (len(small) + len(large) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], ["a", "b", "linked"])
+                    at = np.searchsorted(last_set, mine)
+                    at[at == len(last_set)] = 0
+                    hit = last_set[at] == mine
+                    both = int(hit.sum())
+                    linked[r] = 100 * both >= percent * (len(mine) + len(last_set) - both)
+                    if describe:
+                        bits = np.zeros(len(last_set), bool)
+                        bits[at[hit]] = True
+                        shared[r], others[r] = np.packbits(bits).tobytes(), _others_signature(mine[~hit])
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked), pa.array(shared, pa.binary()), pa.array(others, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "shared", "others"])
 
     return run
 
 
 def _close_pairs(percent: int):
-    """Pairs of different components in one block pair whose signatures and sizes allow a link."""
+    """Pairs of different components in one block pair that may be linked.
+
+    Pruned exactly by sizes and by the bound that the bucket's leader gives, and
+    by signatures beyond five standard deviations.
+    """
     need = COORDINATES * (percent / 100 - SLACK)
+    share = percent / (100 + percent)  # of the sizes' sum, which two linked sets have in common
 
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
+        if g["root"].nunique() < 2:
+            return None
         sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), COORDINATES)
         ids, root, n, blk = (g[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "_b"))
+        inner = g["bi"].iat[0] == g["bj"].iat[0]
+        told = g["shared"].notna().to_numpy()  # the others differ from the leader by size alone
+        width = max((len(x) for x in g["shared"] if x is not None), default=0)
+        bits = np.zeros((len(g), width), np.uint8)
+        other = np.zeros((len(g), OTHERS), np.uint8)
+        for i, (x, y) in enumerate(zip(g["shared"], g["others"], strict=True)):
+            if x is not None:
+                bits[i] = np.frombuffer(x, np.uint8)
+                if y:
+                    other[i] = np.frombuffer(y, np.uint8)
+        bits = np.unpackbits(bits, axis=1).astype(np.float32)
+        rest = np.maximum(n - bits.sum(1).astype(int), 0)  # the leader's own bitmap is padded
         found = []
         for i in range(len(g)):
-            ok = (root != root[i]) & ((blk != blk[i]) | (g["bi"].iat[0] == g["bj"].iat[0])) & (ids > ids[i])
-            ok &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((root != root[i]) & ((blk != blk[i]) | inner) & (ids > ids[i]))
+            least = share * (n[at] + n[i])
+            ok = np.minimum(n[at], n[i]) >= least - 1e-9
+            at, least = at[ok], least[ok]
+            if told[i] and len(at):
+                inside = bits[at] @ bits[i]
+                few = np.minimum(rest[at], rest[i])
+                bound = inside + few >= least - 1e-9
+                want = np.maximum(least - inside, 0)
+                j = want / np.maximum(rest[at] + rest[i] - want, 1)
+                j = np.clip(j, 0, 1)
+                agree = (other[at] == other[i]).sum(1)
+                bound &= (want <= 0) | (agree >= OTHERS * (j - 5 * np.sqrt(j * (1 - j) / OTHERS)))
+                at = at[bound | ~told[at]]
             if len(at):
                 at = at[(sig[at] == sig[i]).sum(1) >= need]
                 found.append(np.stack([ids[at], np.full(len(at), ids[i])], 1))
@@ -186,52 +237,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = sets.join(copies.selectExpr("a doc_id"), "doc_id", "left_anti")
 
     buckets = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stage.put(buckets.join(shared, "key"), "buckets")
     texts = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = stage.put(texts, "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs(a, b)`` with ``linked``; pairs that share b are dealt over salts."""
+    def verified(pairs: DataFrame, describe: bool) -> DataFrame:
+        """The rows of ``pairs(a, b)`` verified on full sets; pairs that share b are dealt over salts."""
+        pairs = stage.put(pairs, "pairs")
         counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("salts"))
         dealt = pairs.join(counts, "b").withColumn("salt", F.expr("cast(pmod(xxhash64(a), salts) as int)"))
         left = dealt.join(texts.selectExpr("doc_id a", "text ta"), "a").select("a", "b", "salt", "ta")
         right = counts.join(texts.selectExpr("doc_id b", "text tb"), "b").select("b", "tb", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
         both = left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
-        return stage.put(both.mapInArrow(_verify(shingle, percent), "a long, b long, linked boolean"), "verified")
-
-    links = copies
-    done = None
-    roots = None
-    members = buckets.withColumn("root", F.col("doc_id"))
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn == LEADER_ROUNDS:
-            sigs = reps.select("doc_id", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-            dealt = block_pairs(members.join(sigs, "doc_id"), "key", "doc_id", BLOCK)
-            dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-            pairs = dealt.mapInPandas(_close_pairs(percent), "a long, b long").distinct()
-        else:
-            order = "doc_id" if turn == 0 else f"xxhash64(doc_id, {turn})"
-            leader = members.groupBy("key").agg(F.min(F.expr(f"struct({order} o, doc_id, root, n_shingles)")).alias("l"))
-            pairs = members.join(leader, "key").where("root <> l.root")
-            pairs = pairs.where(f"100 * least(n_shingles, l.n_shingles) >= {percent} * greatest(n_shingles, l.n_shingles)")
-            pairs = pairs.selectExpr("greatest(doc_id, l.doc_id) x", "least(doc_id, l.doc_id) y", "l.doc_id l").distinct()
-            pairs = pairs.selectExpr("if(l = x, y, x) a", "l b")
-        if done is not None:
-            known = done.unionByName(done.selectExpr("b a", "a b", "linked"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        now = verified(pairs)
-        done = now if done is None else done.unionByName(now)
-        links = links.unionByName(now.where("linked").select("a", "b"))
-        if turn < LEADER_ROUNDS or not now.where("linked").isEmpty():
-            roots = components(links, stage)
-        if turn < LEADER_ROUNDS:
-            rooted = buckets.join(roots.selectExpr("node doc_id", "root"), "doc_id", "left")
-            rooted = rooted.withColumn("root", F.coalesce("root", "doc_id"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-            members = stage.put(rooted.join(mixed, "key"), "members")
-            if members.isEmpty():
-                break
+        return stage.put(both.mapInArrow(_verify(shingle, percent, describe), _VERIFIED), "verified")
+
+    fullness = buckets.groupBy("doc_id").agg(F.sum("n").alias("full"))
+    led = buckets.join(fullness, "doc_id").groupBy("key").agg(F.max(F.expr("struct(full, -doc_id l, n_shingles)")).alias("m"))
+    led = stage.put(led.selectExpr("key", "-m.l l", "m.n_shingles l_size"), "leaders")
+    pairs = buckets.join(led, "key").where("doc_id <> l")
+    pairs = pairs.where(f"100 * least(n_shingles, l_size) >= {percent} * greatest(n_shingles, l_size)")
+    first = verified(pairs.selectExpr("doc_id a", "l b").distinct(), True)
+    links = copies.unionByName(first.where("linked").select("a", "b"))
+    roots = components(links, stage)
+
+    rooted = buckets.select("key", "doc_id", "n_shingles").join(roots.selectExpr("node doc_id", "root"), "doc_id", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
+    members = stage.put(rooted.join(mixed.where("x < y and n > 2").select("key"), "key"), "members")
+    if not members.isEmpty():
+        sigs = reps.select("doc_id", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+        known = first.selectExpr("a doc_id", "b l", "shared", "others")
+        dealt = members.join(sigs, "doc_id").join(led.select("key", "l", "l_size"), "key").join(known, ["doc_id", "l"], "left")
+        whole = F.expr("cast(unhex(repeat('FF', cast(ceil(l_size / 8) as int))) as binary)")
+        dealt = dealt.withColumn("shared", F.when(F.col("doc_id") == F.col("l"), whole).otherwise(F.col("shared"))).drop("l", "l_size")
+        dealt = block_pairs(dealt, "key", "doc_id", BLOCK)
+        dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        pairs = dealt.mapInPandas(_close_pairs(percent), "a long, b long").distinct()
+        tried = first.select("a", "b").unionByName(first.selectExpr("b a", "a b"))
+        more = verified(pairs.join(tried, ["a", "b"], "left_anti"), False).where("linked")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more.select("a", "b")), stage)
 
     out = facts.select("doc_id", "n_shingles").join(roots.selectExpr("node doc_id", "root"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "doc_id")).drop("root")
