@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.interpolation import interpolated_scores
+from waymark.llm.itq import near_vectors
 from waymark.llm.language import identify_languages
 from waymark.llm.lengths import length_histogram, limit_report
 from waymark.llm.minhash import near_duplicates
@@ -44,6 +45,10 @@ def op8_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_field": op7_language_field,
     "op8_grammar_inference": op8_grammar_inference,
+    "op9_iterative_quantisation": op9_iterative_quantisation,
     "op10_candidate_boosting": op10_candidate_boosting,
 }
 
