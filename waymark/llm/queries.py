@@ -11,6 +11,7 @@ from waymark.llm.interpolation import interpolated_scores
 from waymark.llm.itq import near_vectors
 from waymark.llm.language import identify_languages
 from waymark.llm.lengths import length_histogram, limit_report
+from waymark.llm.licenses import scan_licenses
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.packing import pack_documents
 from waymark.llm.pii import find_personal_data
@@ -37,6 +38,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op6_winnowed_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_length_histogram": op2_length_histogram,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_winnowed_licenses": op6_winnowed_licenses,
     "op7_language_field": op7_language_field,
     "op8_grammar_inference": op8_grammar_inference,
     "op9_iterative_quantisation": op9_iterative_quantisation,
