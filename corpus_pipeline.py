@@ -2,21 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from waymark.llm.decontaminate import contaminated_documents
+from waymark.llm.language import accepted_documents
 from waymark.llm.minhash import near_duplicates
+from waymark.llm.packing import pack_documents
+from waymark.llm.pii import redact
 from waymark.plans.staging import Stage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``: the doc_id, or for a null one a negative number made from the text."""
+    return docs.withColumn("_id", F.expr("coalesce(doc_id, -1 - pmod(xxhash64(text), 4611686018427387904))"))
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.selectExpr("doc_id _id").distinct(), "_id", "left_anti").drop("_id")
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language holds two fifths of the words, go."""
+    return accepted_documents(docs, 0.4)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the least doc_id."""
+    named = _named(docs)
+    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), shingle=5, percent=80)
+    return _without(named, found.where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    named = _named(docs)
+    found = contaminated_documents(named.select(F.col("_id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    return _without(named, found.where("contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL expresses neither learned models nor the tokenizer; tests compare with a plain version.
 ORACLE_SQL = None
 
 

@@ -234,31 +234,39 @@ class LanguageField:
 _PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
 
+def _judged(field: LanguageField, texts: list[bytes]) -> Iterator[tuple[str, float, int, int]]:
+    """Language, score, words with letters and switches of each text, in batches of bounded size."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) < BATCH_BYTES):
+            size += len(texts[to])
+            to += 1
+        for row, n, s in zip(*(x.tolist() for x in field.label(texts[at:to])), strict=True):
+            best = max(row) if n else 0.0
+            yield (field.langs[row.index(best)] if n else UNKNOWN), min(1.0, best), n, s
+        at = to
+
+
 def _predict(field: LanguageField):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text").to_pylist())
-            langs, scores, words, switches = [], [], [], []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < BATCH_BYTES):
-                    size += len(texts[to])
-                    to += 1
-                share, n, s = field.label(texts[at:to])
-                for row, m in zip(share, n.tolist(), strict=True):
-                    k = int(row.argmax()) if m else 0
-                    langs.append(field.langs[k] if m else UNKNOWN)
-                    scores.append(min(1.0, float(row[k])) if m else 0.0)
-                words += n.tolist()
-                switches += s.tolist()
-                at = to
-            columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in ((langs, pa.string()), (scores, pa.float64()), (words, pa.int64()), (switches, pa.int64())))]
+            rows = list(zip(*_judged(field, as_bytes(batch.column("text").to_pylist())), strict=True)) or [()] * 4
+            columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PREDICTED.split(", ")])
 
     return run
 
 
+def _accept(field: LanguageField, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [lang != UNKNOWN and score >= least for lang, score, _, _ in _judged(field, as_bytes(batch.column("text").to_pylist()))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def learn_languages(docs: DataFrame) -> LanguageField:
     """Fit on at most SAMPLE_PER_LANGUAGE labelled documents of each language that are not held out, chosen by hash."""
     rows = docs.where("not held_out and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
@@ -267,6 +275,16 @@ def learn_languages(docs: DataFrame) -> LanguageField:
     return LanguageField([t for _, _, t in picked], [lang for lang, _, _ in picked])
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return docs.withColumn("held_out", F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 = 0"))
+
+
+def accepted_documents(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text has a known language with a score of ``least`` or more, all columns unchanged."""
+    return docs.mapInArrow(_accept(learn_languages(_labelled(docs)), least), docs.schema)
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """The language of every whole text of ``docs(doc_id, text, lang)``.
 
@@ -279,7 +297,6 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     is labelled.  A null doc_id counts as the empty string.  Repeated rows are
     rows of their own; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    docs = docs.withColumn("held_out", F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 = 0"))
+    docs = _labelled(docs)
     field = learn_languages(docs)
     return docs.select("doc_id", "held_out", "text").mapInArrow(_predict(field), _PREDICTED)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.decontaminate import contaminated_documents
 from waymark.llm.interpolation import interpolated_scores
 from waymark.llm.itq import near_vectors
 from waymark.llm.language import identify_languages
@@ -30,6 +31,10 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_report(length_histogram(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -61,6 +66,7 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_length_histogram": op2_length_histogram,
+    "op3_prefix_decontamination": op3_prefix_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_winnowed_licenses": op6_winnowed_licenses,
@@ -70,4 +76,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_candidate_boosting": op10_candidate_boosting,
 }
 
-ORACLES: dict[str, str] = {}
+# Brute force: every window of every document against every item window.
+_OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) n, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT dw.doc_id, dw.s, dw.n, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) p FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) n_items, string_agg(id, ',' ORDER BY id) ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# Brute force: sizes of all intersections by a join on shingles, components by label propagation.
+_OP4 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 3), ' ') k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, d.doc_id <= coalesce(m, d.doc_id) kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a doc_id, min(b) m FROM reach GROUP BY a) USING (doc_id)
+"""
+
+# Brute force: all pairs of one label.
+_OP9 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT x.vec_id a, y.vec_id b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a)
+SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept
+FROM embeddings LEFT JOIN (SELECT a vec_id, count(*) n FROM links GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a vec_id, min(b) m FROM reach GROUP BY a) USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_prefix_decontamination": _OP3,
+    "op4_minhash_near_dedup": _OP4,
+    "op9_iterative_quantisation": _OP9,
+}
