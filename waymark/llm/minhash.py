@@ -12,7 +12,8 @@ component needs no further comparison.  Buckets that still hold several
 components look at the rest in blocks of bounded size.  There the comparison
 with the leader bounds every pair exactly: what two members share lies in the
 leader's set, of which each carries a bitmap, or among their few other
-shingles.  Only pairs that this bound and the signatures allow are verified.
+shingles.  Only pairs that this bound and the signatures allow are verified,
+each from the first bucket in which it meets.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sigs: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of the key."""
+    """One 64-bit key per band of 16-bit coordinates; the band's number is part of the key."""
     parts = sigs.reshape(len(sigs), BANDS, ROWS).astype(U64)
     keys = np.broadcast_to(mix(np.arange(BANDS, dtype=U64) + U64(0xB5)), parts.shape[:2]).copy()
     for j in range(ROWS):
@@ -90,17 +91,17 @@ def _facts(k: int):
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
                 hi, lo = np.zeros(len(sizes), U64), np.zeros(len(sizes), U64)
-                keys, sigs = np.empty((0, BANDS), np.int64), np.empty((0, COORDINATES), np.uint32)
+                keys, sigs = np.empty((0, BANDS), np.int64), np.empty((0, COORDINATES), np.uint16)
                 if len(full):
                     cuts = np.append(offsets[full], offsets[-1])
                     hi[full] = np.add.reduceat(mix(values), cuts[:-1])
                     lo[full] = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), cuts[:-1])
-                    sigs = signatures(values, cuts)
+                    sigs = signatures(values, cuts).astype(np.uint16)
                     keys = band_keys(sigs)
                 list_offsets = np.zeros(len(sizes) + 1, np.int32)
                 list_offsets[full + 1] = BANDS
                 bytes_offsets = np.zeros(len(sizes) + 1, np.int32)
-                bytes_offsets[full + 1] = COORDINATES
+                bytes_offsets[full + 1] = 2 * COORDINATES
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
@@ -109,7 +110,7 @@ def _facts(k: int):
                         pa.array(lo.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(list_offsets), pa.int32()), pa.array(keys.reshape(-1))),
                         pa.Array.from_buffers(
-                            pa.binary(), len(sizes), [None, pa.py_buffer(np.cumsum(bytes_offsets, dtype=np.int32)), pa.py_buffer(sigs.astype(np.uint8).tobytes())]
+                            pa.binary(), len(sizes), [None, pa.py_buffer(np.cumsum(bytes_offsets, dtype=np.int32)), pa.py_buffer(sigs.tobytes())]
                         ),
                     ],
                     ["doc_id", "n_shingles", "set_hi", "set_lo", "keys", "sig"],
@@ -174,7 +175,8 @@ def _close_pairs(percent: int):
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
         if g["root"].nunique() < 2:
             return None
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), COORDINATES)
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), COORDINATES)
+        keys = band_keys(sig)
         ids, root, n, blk = (g[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "_b"))
         inner = g["bi"].iat[0] == g["bj"].iat[0]
         told = g["shared"].notna().to_numpy()  # the others differ from the leader by size alone
@@ -205,7 +207,9 @@ def _close_pairs(percent: int):
                 bound &= (want <= 0) | (agree >= OTHERS * (j - 5 * np.sqrt(j * (1 - j) / OTHERS)))
                 at = at[bound | ~told[at]]
             if len(at):
-                at = at[(sig[at] == sig[i]).sum(1) >= need]
+                same = sig[at] == sig[i]
+                bands = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+                at = at[(same.sum(1) >= need) & (keys[i, bands] == g["key"].iat[0])]
                 found.append(np.stack([ids[at], np.full(len(at), ids[i])], 1))
         if not found:
             return None
