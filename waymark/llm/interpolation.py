@@ -35,7 +35,8 @@ TEST, TRAIN, DELETED = 0, 1, 2
 _REQUEST = "level int, rng int, block int, part int, keys binary, counts binary"
 _ANSWER = "block int, part int, level int, rng int, counts binary, rest binary, n double, v double, n_rest double, v_rest double"
 _CELLS = "cell array<int>, n long"
-_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+# ids travel as text through pandas, which would round large ones beside a null
+_SCORE = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -210,12 +211,12 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     without training documents gives every token the uniform share.
     """
     stage = Stage(docs.sparkSession, "interpolation")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     ranges = max(LEAST_RANGES, 1 << math.ceil(math.log2(max(1, order * size / BLOCK_BYTES / 2))))
     own = max(1, blocks // 5)
-    docs = docs.withColumn("_r", F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5"))
+    docs = docs.withColumn("_r", F.expr("crc32(cast(coalesce(doc_id, '') as binary)) % 5"))
     docs = docs.withColumn("part", F.expr(f"case _r when 1 then {TEST} when 0 then {DELETED} else {TRAIN} end").cast("int"))
     docs = docs.withColumn(
         "block",
@@ -236,4 +237,5 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         weights = learn_weights(np.stack(cells["cell"].to_numpy()).astype(int), cells["n"].to_numpy(float), v_rest)
     else:
         weights = np.full((64, order + 1), 1 / (order + 1))
-    return meet(docs, answers, "counts").applyInPandas(_score(order, n, v, weights), _SCORE)
+    scored = meet(docs, answers, "counts").applyInPandas(_score(order, n, v, weights), _SCORE)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
