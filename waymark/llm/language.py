@@ -21,12 +21,12 @@ from waymark.llm.sampling import smallest
 from waymark.llm.text import as_bytes, span_hashes
 
 #: Bound of the labelled sample: documents per language.
-SAMPLE_PER_LANGUAGE = 80
+SAMPLE_PER_LANGUAGE = 60
 #: Bits of a hashed feature, and the longest n-gram in bytes.
 FEATURE_BITS, LONGEST = 18, 4
 ROUNDS, RATE, PENALTY = 20, 0.4, 1e-6
 #: Words per segment of the forward-backward pass, per batch of it, and emissions a worker keeps.
-SEGMENT, BATCH_BYTES, KEPT_WORDS = 32, 1 << 21, 400_000
+SEGMENT, BATCH_BYTES, KEPT_WORDS = 32, 1 << 20, 200_000
 #: Words after which an artificially code-switched training text changes its language.
 SWITCH = 15
 UNKNOWN = "und"
@@ -157,7 +157,11 @@ class LanguageField:
 
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
+        self.kept: dict[bytes, int] = {}
         size = len(self.langs)
+        self.rows = np.empty((0, size + 1))
+        if not size:
+            return
         label = np.array([self.langs.index(x) for x in langs])
         words, inverse, offsets = split_words(as_bytes(texts))
         rows, cols, _ = featurise(words)
@@ -192,8 +196,6 @@ class LanguageField:
             moves += RATE * move / np.sqrt(sq_m)
         self.weights = weights.astype(np.float32)
         self.moves = np.exp(moves)
-        self.kept: dict[bytes, int] = {}
-        self.rows = np.empty((0, size + 1))
 
     @staticmethod
     def _emissions(weights: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
@@ -217,7 +219,7 @@ class LanguageField:
         """Mean posterior of each text over its words with letters, number of those words, and switches between them."""
         size = len(self.langs)
         words, inverse, offsets = split_words(texts)
-        if not len(inverse) or not size:
+        if not size or not len(inverse):
             return np.zeros((len(texts), size)), np.zeros(len(texts), int), np.zeros(len(texts), int)
         rows = self._potentials(words)[inverse]
         posterior, _ = forward_backward(np.ascontiguousarray(rows[:, :size]), offsets, self.moves)
@@ -234,15 +236,16 @@ class LanguageField:
 _PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
 
-def _judged(field: LanguageField, texts: list[bytes]) -> Iterator[tuple[str, float, int, int]]:
-    """Language, score, words with letters and switches of each text, in batches of bounded size."""
+def _judged(field: LanguageField, column: pa.Array) -> Iterator[tuple[str, float, int, int]]:
+    """Language, score, words with letters and switches of each text, a bounded number of bytes at a time."""
+    if not len(column):
+        return
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1])
     at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < BATCH_BYTES):
-            size += len(texts[to])
-            to += 1
-        for row, n, s in zip(*(x.tolist() for x in field.label(texts[at:to])), strict=True):
+    while at < len(column):
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), BATCH_BYTES, "right")))
+        shares = field.label(as_bytes(column.slice(at, to - at).to_pylist()))
+        for row, n, s in zip(*(x.tolist() for x in shares), strict=True):
             best = max(row) if n else 0.0
             yield (field.langs[row.index(best)] if n else UNKNOWN), min(1.0, best), n, s
         at = to
@@ -251,7 +254,7 @@ def _judged(field: LanguageField, texts: list[bytes]) -> Iterator[tuple[str, flo
 def _predict(field: LanguageField):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*_judged(field, as_bytes(batch.column("text").to_pylist())), strict=True)) or [()] * 4
+            rows = list(zip(*_judged(field, batch.column("text")), strict=True)) or [()] * 4
             columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PREDICTED.split(", ")])
 
@@ -261,7 +264,7 @@ def _predict(field: LanguageField):
 def _accept(field: LanguageField, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [lang != UNKNOWN and score >= least for lang, score, _, _ in _judged(field, as_bytes(batch.column("text").to_pylist()))]
+            keep = [lang != UNKNOWN and score >= least for lang, score, _, _ in _judged(field, batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -270,8 +273,9 @@ def _accept(field: LanguageField, least: float):
 def learn_languages(docs: DataFrame) -> LanguageField:
     """Fit on at most SAMPLE_PER_LANGUAGE labelled documents of each language that are not held out, chosen by hash."""
     rows = docs.where("not held_out and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    rows = smallest(rows.select("lang", "h", "text"), "lang", "h", SAMPLE_PER_LANGUAGE).collect()
-    picked = sorted((r["lang"], r["h"], r["text"]) for r in rows)
+    chosen = sorted({r["h"] for r in smallest(rows.select("lang", "h"), "lang", "h", SAMPLE_PER_LANGUAGE).collect()})
+    found = rows.where(F.col("h").isin(chosen)).select("lang", "h", "text").distinct().collect() if chosen else []
+    picked = sorted((r["lang"], r["h"], r["text"]) for r in found)
     return LanguageField([t for _, _, t in picked], [lang for lang, _, _ in picked])
 
 

@@ -25,7 +25,7 @@ def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            sizes = [np.diff(encode(batch.slice(at, 2000).column(0).to_pylist())[1]) for at in range(0, batch.num_rows, 2000)]
+            sizes = [np.diff(encode(batch.slice(at, 1000).column(0).to_pylist())[1]) for at in range(0, batch.num_rows, 1000)]
             values, counts = np.unique(np.concatenate(sizes or [np.empty(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["length", "n"])
 

@@ -29,15 +29,16 @@ PARTITION_ROWS, LEAST_PARTITIONS = 100_000, 24
 MOST_ROUNDS = 8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = _PIECES + ", turn int, part int, bin int, offset long, fill long, open boolean"
+# ids travel as text through pandas, which would round large ones beside a null
+_PACKED = _PIECES.replace("doc_id long", "doc_id string") + ", turn int, part int, bin int, offset long, fill long, open boolean"
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
                 ids, offsets = encode(rows.column(1).to_pylist())
                 raw, bounds = ids.tobytes(), offsets.tolist()
                 out = []
@@ -130,7 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
     pieces = stage.put(docs.mapInArrow(_pieces(tokenizer, capacity), _PIECES), "pieces")
 
     def packed(rows: DataFrame, parts: int, turn: int) -> DataFrame:
-        rows = rows.select(*pieces.columns).withColumn("turn", F.lit(turn))
+        rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), *pieces.columns[1:]).withColumn("turn", F.lit(turn))
         rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {parts}) as int)"))
         return stage.put(rows.groupBy("part").applyInPandas(_pack(capacity), _PACKED), "packed")
 
@@ -157,6 +158,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
         elif not len(enough):
             break
         stage.drop(again)
-    out = state
     sequence = F.expr("shiftleft(cast(turn as bigint), 56) + shiftleft(cast(part as bigint), 28) + bin")
-    return out.select(*pieces.columns, sequence.alias("sequence_id"), "offset")
+    return state.select(F.col("doc_id").cast("long").alias("doc_id"), *pieces.columns[1:], sequence.alias("sequence_id"), "offset")

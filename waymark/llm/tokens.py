@@ -12,6 +12,7 @@ spell an added token, through ``tokenizers`` itself.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from array import array
@@ -21,7 +22,7 @@ import numpy as np
 from waymark.llm.text import CHUNK, as_bytes, span_hashes
 
 #: Pieces whose ids a worker keeps; beyond that it starts again (memory bound).
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 # Fixed value: the published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,16 +48,21 @@ class PieceEncoder:
     """Encodes batches of texts, keeping the ids of the pieces it has seen."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._ranked(spec)
         self.known: dict[bytes, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The file's own tokenizer, loaded when a piece needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranked(self, spec: dict):
         """A tiktoken encoding of the same vocabulary, or None if its ids are not in merge order."""
         import tiktoken
@@ -86,7 +92,7 @@ class PieceEncoder:
         part: list[bytes] = []
         size = 0
         for t in as_bytes(texts):
-            if part and size + len(t) > 6 * CHUNK:
+            if part and size + len(t) > 4 * CHUNK:
                 own, n = self._chunk(part)
                 ids.append(own), counts.append(n)
                 part, size = [], 0
