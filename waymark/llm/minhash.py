@@ -135,19 +135,19 @@ def _verify(k: int, percent: int, describe: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_text, last_set = None, None, np.empty(0, U64)
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            linked = np.zeros(len(a), bool)
-            shared: list = [None] * len(a)
-            others: list = [None] * len(a)
-            for i in range(0, len(a), 64):
-                own, offsets = sorted_sets(*shingle_hashes(*word_hashes(as_bytes(ta[i : i + 64])), k))
-                for j in range(len(offsets) - 1):
-                    r = i + j
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):  # texts of few pairs at once
+                batch = whole.slice(start, 64)
+                a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+                linked = np.zeros(len(a), bool)
+                shared: list = [None] * len(a)
+                others: list = [None] * len(a)
+                own, offsets = sorted_sets(*shingle_hashes(*word_hashes(as_bytes(ta)), k))
+                for r in range(len(a)):
                     if b[r] != last_id or tb[r] != last_text:
                         last_id, last_text = b[r], tb[r]
                         last_set = sorted_sets(*shingle_hashes(*word_hashes(as_bytes([last_text])), k))[0]
-                    mine = own[offsets[j] : offsets[j + 1]]
+                    mine = own[offsets[r] : offsets[r + 1]]
                     at = np.searchsorted(last_set, mine)
                     at[at == len(last_set)] = 0
                     hit = last_set[at] == mine
@@ -157,8 +157,8 @@ def _verify(k: int, percent: int, describe: bool):
                         bits = np.zeros(len(last_set), bool)
                         bits[at[hit]] = True
                         shared[r], others[r] = np.packbits(bits).tobytes(), _others_signature(mine[~hit])
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked), pa.array(shared, pa.binary()), pa.array(others, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "shared", "others"])
+                columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked), pa.array(shared, pa.binary()), pa.array(others, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "shared", "others"])
 
     return run
 
