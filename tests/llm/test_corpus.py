@@ -261,6 +261,30 @@ def test_op8_formats_tell_secrets_from_words():
     assert f.formats["hex"].log_likelihood(keys[0]) > f.background.log_likelihood(keys[0]) and merged
 
 
+def test_op8_whole_tokens_are_scored(spark):
+    r = np.random.default_rng(1)
+
+    def drawn(n, letters="0123456789abcdef"):
+        return "".join(r.choice(list(letters), n))
+
+    words = [drawn(int(n), "etaoinshrdlu") for n in r.integers(8, 30, 300)]
+    f = secrets.Formats({"hex": [drawn(40) for _ in range(150)]}, words)
+    path, plain = "/".join(words[:12]), "".join(words[:5])
+    assert len(path) > 64 and len(plain) > 64 and f.ratio(plain + drawn(1000)) > secrets.LEAST_RATIO > f.ratio(drawn(64) + words[0] * 40)
+    docs = [(i, f"{words[i]} {words[i + 1]} secret={drawn(40)}") for i in range(200)]
+    planted, short = drawn(30), "9" + drawn(10, "0123456789")
+    docs += [(900, f"see {path}={planted} now"), (901, f"{short} {words[0]}"), (902, path)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[900] == f"format:{len(path) + 5}:{len(path) + 35}" and got[901] == "format:0:11" and got[902] == ""
+
+
+def test_op8_training_is_bounded_and_its_cut_is_no_end(monkeypatch):
+    assert secrets._limit([3, 5, 90], 1000) == 90 and secrets._limit([3, 50, 90], 23) == 10
+    monkeypatch.setattr(secrets, "MOST_TREE", 100)
+    cut = secrets.Automaton(["ab" * 200, "cd" * 200])
+    assert sum(c["$"] for c in cut.count) == 0 and math.isfinite(cut.log_likelihood("ab" * 5000))
+
+
 def test_op9_groups_recall_and_odd_vectors(spark):
     r = np.random.default_rng(5)
     centres = r.normal(size=(30, 64))

@@ -27,18 +27,21 @@ KINDS = ["assign", "access", "hex"]
 ADDED = "format"
 #: Bounds of the training sample: values per kind, and background tokens.
 SAMPLE_VALUES, SAMPLE_BACKGROUND = 400, 4000
-#: Confidence of the merge test, and states of an automaton at most while merging.
-ALPHA, MOST_SYMBOLS = 0.05, 64
+#: Confidence of the merge test.
+ALPHA = 0.05
+#: Bounds of the driver's memory in training only: characters of a value that travel, and symbols of a prefix tree.
+#: Scoring reads every character.  A value that is cut here has no end there.
+MOST_SENT, MOST_TREE = 4096, 400_000
 #: Mean log-likelihood ratio per character (nats) from which a candidate is a span.
-LEAST_RATIO, LEAST_LENGTH = 1.0, 16
+LEAST_RATIO = 1.0
 
 # The base patterns of the three kinds.
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones fail either way
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")  # the shortest value of a kind has 8 characters
+_PART = re.compile(r"[A-Za-z0-9+_-]{8,}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -60,12 +63,11 @@ def base_value(text: str, span: Span) -> str:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens long enough and mixed enough to be a credential; generous on purpose."""
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+    """Tokens as long as the shortest credential; generous on purpose."""
+    return [m.span() for m in _CANDIDATE.finditer(text)]
 
 
-def symbol(c: str) -> str:
-    """The character class that an automaton reads."""
+def _symbol(c: str) -> str:
     if c.isdigit():
         return "9"
     if "a" <= c <= "f":
@@ -77,18 +79,35 @@ def symbol(c: str) -> str:
     return c
 
 
+_SYMBOLS = str.maketrans({chr(c): _symbol(chr(c)) for c in range(128)})
 _CLASS_SIZE = {"9": 10, "h": 6, "l": 20, "U": 26}
 
 
+def symbols(word: str) -> str:
+    """The character classes that an automaton reads."""
+    return word.translate(_SYMBOLS)
+
+
+def _limit(lengths: list[int], most: int) -> int:
+    """The greatest length at which words may be cut so that ``most`` symbols are left; none is cut if all fit."""
+    left, n = most, len(lengths)
+    for i, x in enumerate(sorted(lengths)):
+        if x * (n - i) > left:
+            return left // (n - i)
+        left -= x
+    return max(lengths, default=0)
+
+
 class Automaton:
     """A probabilistic automaton inferred by state merging from labelled strings."""
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
+        limit = _limit([len(w) for w in words], MOST_TREE)
         for word in words:
             state = 0
-            for c in [*map(symbol, word[:MOST_SYMBOLS]), "$"]:
+            for c in symbols(word[:limit]) + "$" * (len(word) <= min(limit, MOST_SENT)):
                 self.count[state][c] += 1
                 if c == "$":
                     break
@@ -147,14 +166,15 @@ class Automaton:
                 blue += [(state, d) for d in sorted(self.next[state])]
 
     def log_likelihood(self, word: str) -> float:
-        """Log probability of the characters and of ending there, smoothed for unseen symbols."""
-        state: int | None = 0
-        out = 0.0
-        for c in [*map(symbol, word[:MOST_SYMBOLS]), "$"]:
-            n = 0 if state is None else self.count[state][c]
-            total = 0 if state is None else self.total[state]
-            out += math.log((n + 0.05) / (total + 0.05 * 40)) - math.log(_CLASS_SIZE.get(c, 1))
-            state = None if state is None else self.next[state].get(c)
+        """Log probability of all characters and of ending there, smoothed for unseen symbols."""
+        return self.log_likelihood_of(symbols(word))
+
+    def log_likelihood_of(self, classes: str) -> float:
+        """The same for a word's character classes."""
+        state, out = 0, 0.0
+        for c in classes + "$":
+            out += math.log((self.count[state][c] + 0.05) / (self.total[state] + 0.05 * 40)) - math.log(_CLASS_SIZE.get(c, 1))
+            state = self.next[state].get(c, 0)  # after an unseen symbol the rest is read from the start
         return out
 
 
@@ -165,12 +185,27 @@ class Formats:
         self.formats = {k: Automaton(v) for k, v in sorted(values.items()) if v}
         self.background = Automaton(background)
 
+        self._known: dict[str, float] = {}
+
     def ratio(self, token: str) -> float:
-        """Mean log-likelihood ratio per character of the best format against the background."""
+        """Mean log-likelihood ratio per character of the best format against the background, over the whole token."""
         if not self.formats:
             return -math.inf
-        best = max(f.log_likelihood(token) for f in self.formats.values())
-        return (best - self.background.log_likelihood(token)) / (len(token[:MOST_SYMBOLS]) + 1)
+        classes = symbols(token)
+        out = self._known.get(classes)
+        if out is None:
+            best = max(f.log_likelihood_of(classes) for f in self.formats.values())
+            out = (best - self.background.log_likelihood_of(classes)) / (len(classes) + 1)
+            if len(classes) <= 64 and len(self._known) < 100_000:  # a worker's memory; others are computed again
+                self._known[classes] = out
+        return out
+
+    def likely(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """The token itself if it is likely, else its likely parts between ``/``, ``=`` and ``.``."""
+        if self.ratio(text[a:b]) >= LEAST_RATIO:
+            return [(a, b)]
+        parts = [m.span() for m in _PART.finditer(text, a, b)]
+        return [(x, y) for x, y in parts if (x, y) != (a, b) and self.ratio(text[x:y]) >= LEAST_RATIO]
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +230,8 @@ def learn_formats(docs: DataFrame) -> Formats:
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_samples, "kind string, value string")
     found = found.distinct().withColumn("h", F.xxhash64("value", F.lit(8)))
     rows: dict[str, list[str]] = {}
-    for r in sorted(smallest(found, "kind", "h", SAMPLE_BACKGROUND).collect()):  # four kinds
+    sample = smallest(found, "kind", "h", SAMPLE_BACKGROUND).withColumn("value", F.substring("value", 1, MOST_SENT + 1))
+    for r in sorted(sample.collect()):  # four kinds
         rows.setdefault(r["kind"], []).append(r["value"])
     background = rows.pop("background", [])
     return Formats({k: sorted(v, key=lambda x: zlib.crc32(x.encode()))[:SAMPLE_VALUES] for k, v in rows.items()}, background)
@@ -215,8 +251,8 @@ def _scan(formats: Formats):
                 base = base_spans(text)
                 more, taken = [], Cover(base)
                 for a, b in candidates(text):
-                    if not taken.touches(a, b) and formats.ratio(text[a:b]) >= LEAST_RATIO:
-                        more.append((ADDED, a, b))
+                    if not taken.touches(a, b):
+                        more += [(ADDED, x, y) for x, y in formats.likely(text, a, b)]
                 n = Counter(k for k, _, _ in base)
                 rows.append((doc_id, n["assign"], n["access"], n["hex"], digest(base, KINDS), joined(base + more, order)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
