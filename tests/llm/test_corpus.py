@@ -285,6 +285,24 @@ def test_op8_training_is_bounded_and_its_cut_is_no_end(monkeypatch):
     assert sum(c["$"] for c in cut.count) == 0 and math.isfinite(cut.log_likelihood("ab" * 5000))
 
 
+def test_op8_background_comes_from_texts_of_any_length(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    docs = []
+    for i in range(300):  # equal lengths that 16 does not divide
+        word = "-".join("".join(r.choice(list("etaoinshrdlu"), 9)) for _ in range(3)) + "-2024"
+        docs.append((i, f"{word} token={''.join(r.choice(list('0123456789abcdefXYZ'), 24))} {word[::-1]} end".ljust(133)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {x["spans"].count("format") for x in secrets.scan_secrets(df).collect()} == {0}
+    alone = spark.createDataFrame([(1, "token=abcdef0123456789"), (2, "short ones")], "doc_id long, text string")
+    assert secrets.learn_formats(alone) is None
+    monkeypatch.setattr(secrets, "SAMPLE_BACKGROUND", 10)
+    own = secrets._Least()
+    for i in range(0, 100, 7):
+        own.add({f"word{k}" for k in range(i, min(i + 7, 100))})
+    own.cut()
+    assert set(own.held) == set(sorted((f"word{k}" for k in range(100)), key=secrets._hash)[:10])
+
+
 def test_op9_groups_recall_and_odd_vectors(spark):
     r = np.random.default_rng(5)
     centres = r.normal(size=(30, 64))

@@ -10,6 +10,7 @@ against the background; likely ones become spans of kind ``format``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -208,39 +209,70 @@ class Formats:
         return [(x, y) for x, y in parts if (x, y) != (a, b) and self.ratio(text[x:y]) >= LEAST_RATIO]
 
 
+def _hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class _Least:
+    """The distinct values of least hash, SAMPLE_BACKGROUND at most; twice as many are held."""
+
+    def __init__(self):
+        self.held: dict[str, int] = {}
+        self.top = math.inf
+
+    def add(self, values: set[str]) -> None:
+        for v in values:
+            if v not in self.held and (h := _hash(v)) <= self.top:
+                self.held[v] = h
+                if len(self.held) >= 2 * SAMPLE_BACKGROUND:
+                    self.cut()
+
+    def cut(self) -> None:
+        if len(self.held) > SAMPLE_BACKGROUND:
+            self.held = dict(sorted(self.held.items(), key=lambda x: (x[1], x[0]))[:SAMPLE_BACKGROUND])
+            self.top = max(self.held.values())
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each kind, and of all ordinary tokens, the distinct values of least hash in a partition."""
+    least = {k: _Least() for k in [*KINDS, "background"]}
     for batch in batches:
-        kinds, values = [], []
+        seen: dict[str, set[str]] = {k: set() for k in least}
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
             spans = base_spans(text)
-            taken = Cover(spans)
             for s in spans:
-                kinds.append(s[0]), values.append(base_value(text, s))
-            if len(text) % 16 == 0:  # ordinary long tokens of some texts
-                for m in _CANDIDATE.finditer(text):
-                    if not taken.touches(*m.span()):
-                        kinds.append("background"), values.append(m[0])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
-
-
-def learn_formats(docs: DataFrame) -> Formats:
-    """Infer the automata from a bounded sample of distinct values, chosen by hash."""
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_samples, "kind string, value string")
-    found = found.distinct().withColumn("h", F.xxhash64("value", F.lit(8)))
+                seen[s[0]].add(base_value(text, s))
+            if spans:
+                taken = Cover(spans)
+                seen["background"].update(text[a:b] for a, b in candidates(text) if not taken.touches(a, b))
+            else:
+                seen["background"].update(_CANDIDATE.findall(text))
+        for k, values in seen.items():
+            least[k].add(values)
+    for k, own in least.items():
+        own.cut()
+        values = [v[: MOST_SENT + 1] for v in own.held]
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.string()), pa.array(values, pa.string()), pa.array(own.held.values(), pa.int64())], ["kind", "value", "h"])
+
+
+def learn_formats(docs: DataFrame) -> Formats | None:
+    """Infer the automata from a bounded sample of distinct values, chosen by hash; None without values or background."""
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_samples, "kind string, value string, h long")
     rows: dict[str, list[str]] = {}
-    sample = smallest(found, "kind", "h", SAMPLE_BACKGROUND).withColumn("value", F.substring("value", 1, MOST_SENT + 1))
-    for r in sorted(sample.collect()):  # four kinds
+    for r in sorted(smallest(found.distinct(), "kind", "h", SAMPLE_BACKGROUND).collect()):  # four kinds
         rows.setdefault(r["kind"], []).append(r["value"])
     background = rows.pop("background", [])
+    if not rows or not background:
+        return None
     return Formats({k: sorted(v, key=lambda x: zlib.crc32(x.encode()))[:SAMPLE_VALUES] for k, v in rows.items()}, background)
 
 
 _FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scan(formats: Formats):
+def _scan(formats: Formats | None):
     order = [*KINDS, ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +282,7 @@ def _scan(formats: Formats):
                 text = text or ""
                 base = base_spans(text)
                 more, taken = [], Cover(base)
-                for a, b in candidates(text):
+                for a, b in candidates(text) if formats else ():
                     if not taken.touches(a, b):
                         more += [(ADDED, x, y) for x, y in formats.likely(text, a, b)]
                 n = Counter(k for k, _, _ in base)
@@ -268,7 +300,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 and spans, which also
     holds the added spans of kind ``format``.  Null text is empty; repeated rows
     and null doc_ids are rows of their own; an empty table gives no rows; other
-    columns are ignored.  Without any labelled credential no span is added.
+    columns are ignored.  Without any labelled credential, or any ordinary token
+    to tell it from, no span is added.
     """
     formats = learn_formats(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
