@@ -326,6 +326,16 @@ def test_op9_groups_recall_and_odd_vectors(spark):
     assert component[2005] == component[0]
 
 
+def test_op9_rotation_learns_from_classes(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.repeat(r.normal(size=(50, 16)), 30, axis=0))]
+    learned, plain = [], itq.learn_rotation
+    monkeypatch.setattr(itq, "SAMPLE", 20)
+    monkeypatch.setattr(itq, "learn_rotation", lambda x: learned.append(x) or plain(x))
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(np.unique(learned[0], axis=0)) == 20 and all(x["n_links"] >= 29 for x in got)
+
+
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
@@ -358,6 +368,41 @@ def test_op10_boosting_learns_a_rule():
     assert ((m.probability(x) >= m.threshold) == y).mean() > 0.95
 
 
+def test_op10_sample_holds_every_kind_whatever_is_copied(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    docs = [f"{'x' * int(k)}@mail.example.org" for k in r.integers(1, 40, 400)] + ["call +1 (649) 555-1648 now"] * 300
+    docs += [f"host 10.{a}.7.{b} up" for a, b in r.integers(0, 250, (40, 2))] + [f"no {n} of {n * 7}" for n in r.integers(10**6, 10**9, 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    seen = {}
+
+    class Spy(boosting.Calibrated):
+        def __init__(self, x, y, fold, precision, weight=None):
+            seen.update(x=x, y=y, fold=fold, weight=weight)
+            super().__init__(x, y, fold, precision, weight)
+
+    monkeypatch.setattr(pii, "Calibrated", Spy)
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 40)
+    assert pii.learn_redaction(df) is not None
+    x, y, fold, weight = seen["x"], seen["y"], seen["fold"], seen["weight"]
+    vectors = [tuple(v) for v in x]
+    assert len({(v, k) for v, k in zip(vectors, y, strict=True)}) == len(x) <= 40
+    assert all(len({f for v, f in zip(vectors, fold, strict=True) if v == u}) == 1 for u in set(vectors))
+    phone, mail, host = pii.features(docs[400], 5, 22), x[:, 11] > 0, x[:, 16] > 0
+    assert tuple(phone) in vectors and weight[vectors.index(tuple(phone))] == 300
+    assert (y[mail] == 1).any() and (y[host] == 1).any() and abs(weight[mail & (y == 1)].sum() - 400) < 1e-6
+    assert pii.shares({"a": 3, "b": 100, "c": 100}, 43) == {"a": 3, "b": 20, "c": 20}
+
+
+def test_op10_weights_are_counts():
+    r = np.random.default_rng(0)
+    x, n = r.normal(size=(400, 3)), r.integers(1, 6, 400)
+    y, fold = (x[:, 1] > 0.3).astype(float), np.arange(400) % 4
+    many = np.repeat(np.arange(400), n)
+    one, all_ = boosting.Boosted(x, y, n.astype(float)), boosting.Boosted(x[many], y[many], np.ones(len(many)))
+    assert (np.sign(one.raw(x)) == np.sign(all_.raw(x))).mean() > 0.98
+    assert boosting.Calibrated(x, y, fold, 0.95, n.astype(float)).threshold < 2
+
+
 def test_op10_redaction_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "write to a.b@c.example.org or +1 (649) 555-1648 now", 5), (2, None, 1), (3, "clean", 2)], "doc_id long, text string, n_chars long")
     assert sorted((r["doc_id"], r["text"]) for r in pii.redact(docs).collect()) == [(1, "write to [EMAIL] or [PHONE] now"), (2, None), (3, "clean")]

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation that balances the signs of centred vectors is learned on a bounded
-sample; every vector gets a code of one bit per dimension.  Codes are cut into
+sample of classes; every vector gets a code of one bit per dimension.  Codes are cut into
 substrings, each an index table; vectors of one label that agree on a substring
 are candidates and are reranked with the original vectors.  Equal vectors are
 one class.  Tables are dealt into blocks of bounded size, a pair is counted in
@@ -136,14 +136,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     stage = Stage(vectors.sparkSession, "vectors")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = stage.put(vectors.where("vec_id is not null and label is not null").mapInArrow(_usable, _USABLE), "usable")
-    sample = usable.withColumn("h", F.xxhash64("unit", F.lit(9))).orderBy("h").limit(SAMPLE).select("dims", "unit").collect()
+    classes = stage.put(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    sample = classes.withColumn("h", F.xxhash64("unit", F.lit(9))).orderBy("h").limit(SAMPLE).selectExpr("cast(length(unit) div 8 as int) dims", "unit").collect()
     fitted = {}
     for d in {r["dims"] for r in sample} | {r["dims"] for r in usable.select("dims").distinct().collect()}:
         own = [np.frombuffer(r["unit"]) for r in sample if r["dims"] == d]
         fitted[d] = learn_rotation(np.stack(own)) if len(own) > 1 else (np.zeros(d), np.eye(d))
 
-    classes = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     coded = stage.put(classes.mapInArrow(_code(fitted), _CODED), "coded")
+    stage.drop(classes)
     tables = coded.withColumn("sub", F.explode("subs")).withColumn("bucket", F.xxhash64("label", "sub", F.length("unit")))
     dealt = block_pairs(tables, "bucket", "rep", BLOCK).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     found = stage.put(dealt.mapInPandas(_rerank(least), _LINKS), "found")
