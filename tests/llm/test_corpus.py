@@ -189,6 +189,17 @@ def test_op6_every_notice_in_the_documents(spark, texts):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["mit-short", "cc-by-nc-4.0", "apache-2.0", "mit"])
+def test_op6_repeated_notices_are_each_found(spark, name):
+    notice = licenses.TEMPLATES[name]
+    n, half = len(notice), " ".join(notice.split()[:3])
+    texts = [" ".join([notice] * 10), f"{half} {half} {half} nothing. {notice}", f"{half} one two three four five six seven {half} and then {notice} {half}"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where(F.col("template") == name).collect()
+    got = {i: sorted((r["start"], r["end"], r["coverage"]) for r in rows if r["doc_id"] == i) for i in range(3)}
+    assert got[0] == [(i * (n + 1), i * (n + 1) + n, 1.0) for i in range(10)]
+    assert all(got[i] == [(texts[i].index(notice), texts[i].index(notice) + n, 1.0)] for i in (1, 2))
+
+
 def test_op6_alignment_is_the_longest_common_subsequence():
     r = np.random.default_rng(1)
     for _ in range(30):

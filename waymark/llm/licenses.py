@@ -67,41 +67,80 @@ class Index:
         self.template = np.repeat(np.arange(len(own)), [len(at) for _, at in own])[order]
         self.place = np.concatenate([np.empty(0, int), *(at for _, at in own)])[order].astype(int)
 
-    def candidates(self, runs: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) pairs that the winnowed runs of a document pick; near diagonals are one."""
+    def candidates(self, runs: np.ndarray) -> dict[int, list[tuple[int, np.ndarray]]]:
+        """For each template the diagonals that the winnowed runs of a document pick, those of most hits first, with the hits' places."""
         at = winnow(runs)
         first = np.searchsorted(self.prints, runs[at], "left")
         n = np.searchsorted(self.prints, runs[at], "right") - first
         if not n.any():
-            return []
+            return {}
         hit = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(np.stack([self.template[hit], np.repeat(at, n) - self.place[hit]]), axis=1)
-        fresh = np.append(True, (np.diff(pairs[0]) != 0) | (np.diff(pairs[1]) > BAND))
-        return [(int(t), int(d)) for t, d in pairs[:, fresh].T]
-
-
-def align(template: np.ndarray, words: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Most words matched in order within BAND of the diagonal, and the first and last matched word of the document."""
+        places = np.repeat(at, n)
+        template, diagonal = self.template[hit], places - self.place[hit]
+        order = np.lexsort((places, diagonal, template))
+        template, diagonal, places = template[order], diagonal[order], places[order]
+        cuts = np.flatnonzero((np.diff(template) != 0) | (np.diff(diagonal) != 0)) + 1
+        out: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for own, i in zip(np.split(places, cuts), [0, *cuts.tolist()], strict=True):
+            out.setdefault(int(template[i]), []).append((int(diagonal[i]), own))
+        return {t: sorted(found, key=lambda x: (-len(x[1]), x[0])) for t, found in out.items()}
+
+    def stretches(self, words: np.ndarray, runs: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(template, first word, last word, matched words) of each stretch; those of one template don't overlap.
+
+        A diagonal is aligned until its hits lie in stretches or no more is found there.
+        """
+        out = []
+        for t, found in self.candidates(runs).items():
+            template = self.words[t]
+            n = len(template)
+            known = np.append(0, np.cumsum(np.isin(words, template)))
+            free = np.ones(len(words), bool)
+            for diagonal, places in found:
+                a, b = max(diagonal - BAND, 0), min(diagonal + n + BAND, len(words))
+                if known[b] - known[a] < LEAST_COVERAGE * n:  # more words can't match
+                    continue
+                while free[places].any():
+                    matched, first, last = align(template, words, diagonal, free)
+                    if not matched or matched < LEAST_COVERAGE * n or matched < LEAST_DENSITY * (last - first + 1):
+                        break
+                    out.append((t, first, last, matched))
+                    free[first : last + 1] = False
+        return sorted(out)
+
+
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, free: np.ndarray | None = None) -> tuple[int, int, int]:
+    """Most free words matched in order within BAND of the diagonal, and the first and last matched word of the document.
+
+    Of several such stretches the one that ends first, and from there back the words that are nearest.
+    """
     n, width = len(template), 2 * BAND + 1
     best = np.zeros((n + 1, width + 2), int)  # row i, document word diagonal + i + column - BAND - 1
+    hits = np.zeros(best.shape, bool)
     for i in range(n):
         j = diagonal + i + np.arange(-BAND, BAND + 1)
         inside = (j >= 0) & (j < len(words))
-        equal = inside & (words[np.clip(j, 0, len(words) - 1)] == template[i])
+        at = np.clip(j, 0, len(words) - 1)
+        equal = inside & (words[at] == template[i])
+        if free is not None:
+            equal &= free[at]
+        hits[i + 1, 1 : width + 1] = equal
         row = np.maximum(best[i, 1 : width + 1] + equal, best[i, 2 : width + 2])
         best[i + 1, 1 : width + 1] = np.maximum.accumulate(row)
         best[i + 1, width + 1] = best[i + 1, width]
     matched = int(best[n, width])
     first, last, i, c = -1, -1, n, width
+    while c > 1 and best[n, c - 1] == matched:
+        c -= 1
     while i > 0 and c > 0 and best[i, c]:
-        if best[i, c] == best[i, c - 1] and c > 1:
-            c -= 1
-        elif best[i, c] == best[i - 1, c + 1] and c < width + 1:
-            i, c = i - 1, c + 1
-        else:
+        if hits[i, c] and best[i, c] == best[i - 1, c] + 1:
             first = diagonal + i - 1 + c - 1 - BAND
             last = first if last < 0 else last
             i -= 1
+        elif c < width + 1 and best[i, c] == best[i - 1, c + 1]:
+            i, c = i - 1, c + 1
+        else:
+            c -= 1
     return matched, first, last
 
 
@@ -116,15 +155,7 @@ def _scan(index: Index):
                 runs, bounds = shingle_hashes(words, offsets, K)
                 for i, text in enumerate(texts):
                     spans = None
-                    found = {}
-                    for t, diagonal in index.candidates(runs[bounds[i] : bounds[i + 1]]):
-                        template = index.words[t]
-                        matched, first, last = align(template, words[offsets[i] : offsets[i + 1]], diagonal)
-                        if matched >= LEAST_COVERAGE * len(template) and matched >= LEAST_DENSITY * (last - first + 1):
-                            key = (t, first)
-                            if found.get(key, (0, 0))[0] < matched:
-                                found[key] = (matched, last)
-                    for (t, first), (matched, last) in sorted(found.items()):
+                    for t, first, last, matched in index.stretches(words[offsets[i] : offsets[i + 1]], runs[bounds[i] : bounds[i + 1]]):
                         spans = spans or [m.span() for m in _WORD.finditer(text)]
                         n = len(index.words[t])
                         rows.append((ids[at + i], index.names[t], spans[first][0], spans[last][1], matched, n, matched / n))
