@@ -1,44 +1,80 @@
 """Deleted interpolation: n-gram maximum-likelihood estimates mixed by context frequency.
 
 ``P(w | context) = sum_k lambda_k[b] * c(k-gram) / c(its context) + lambda_0[b] / (V + 1)``
-where b is the power-of-two bucket of the longest context's count.  The weights
-are learned by expectation-maximisation on the counts of a deleted part of the
-training documents against the counts of the rest; scoring then uses all counts.
-
-Documents are dealt into blocks by hash.  A block sends its distinct n-grams
-(sorted hashes and counts) to hash ranges, a range adds up what all blocks
-sent and answers each block in the order of its request, so an answer needs no
-keys.  Nothing that grows with the corpus reaches the driver or one task.
+where b is the power-of-two bucket of the longest context's count.  An order whose
+context was never seen has no estimate: such places have buckets of their own, in
+which the absent orders weigh nothing, so the mixture always sums to one.  The
+weights are learned by expectation-maximisation on the counts of a deleted part of
+the training documents against the counts of the rest; scoring then uses all counts.
+
+Texts are gathered into blocks of bounded size, whatever repeats, and the blocks
+are written once.  A block sends its distinct n-grams (sorted hashes and counts) to
+hash ranges, a range adds up what all blocks sent and answers each block in the
+order of its request, so an answer needs no keys.  Only messages with n-grams are
+sent: never more rows than blocks times ranges, nor more than the blocks have
+n-grams.  Nothing that grows with the corpus reaches the driver or one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.text import U64, as_bytes, mix, word_hashes
 from waymark.plans.staging import Stage
 
-#: Bytes of text per block, and the least number of blocks and of hash ranges.
-BLOCK_BYTES, LEAST_BLOCKS, LEAST_RANGES = 8_000_000, 40, 32
+#: Bytes of text per block and per hash range (what a worker holds at once), and the least number of tasks and of ranges.
+BLOCK_BYTES, RANGE_BYTES, LEAST_TASKS, LEAST_RANGES = 12_000_000, 24_000_000, 40, 32
 #: Steps per factor of two in which the deleted part's estimates are counted, so
 #: the histogram that EM reads has at most buckets * cells ** order rows.
 CELLS = 4
 EM_ROUNDS = 60
+#: Buckets of seen contexts; those after it are for places whose longest context is unseen, by the orders that are left.
+BUCKETS = 64
 START, END = U64(0x51A7E0000000001D), U64(0xE9D000000000002B)
 TEST, TRAIN, DELETED = 0, 1, 2
 
-_REQUEST = "level int, rng int, block int, part int, keys binary, counts binary"
-_ANSWER = "block int, part int, level int, rng int, counts binary, rest binary, n double, v double, n_rest double, v_rest double"
+_BLOCK = "block long, part int, ids array<string>, texts array<string>"
+_REQUEST = "level int, rng int, block long, part int, keys binary, counts binary"
+_ANSWER = "block long, part int, level int, rng int, counts binary, rest binary, n double, v double, n_rest double, v_rest double"
 _CELLS = "cell array<int>, n long"
 # ids travel as text through pandas, which would round large ones beside a null
 _SCORE = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part gathered up to BLOCK_BYTES; a longer text is a block of its own."""
+    first = TaskContext.get().partitionId() << 32
+    made = 0
+    held: dict[int, tuple[list, list]] = {}
+    size: dict[int, int] = {}
+
+    def flush(part: int) -> pa.RecordBatch:
+        nonlocal made
+        ids, texts = held.pop(part)
+        made += 1
+        columns = [pa.array([first + made]), pa.array([part], pa.int32()), pa.array([ids], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "part", "ids", "texts"])
+
+    for batch in batches:
+        for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(text or "")
+            if part in held and size[part] + n > BLOCK_BYTES:
+                yield flush(part)
+            ids, texts = held.setdefault(part, ([], []))
+            ids.append(doc_id), texts.append(text)
+            size[part] = n if len(ids) == 1 else size[part] + n
+    for part in sorted(held):
+        yield flush(part)
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Integers as byte planes: high planes are zeros, which the shuffle's compression removes."""
     return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
@@ -75,18 +111,21 @@ def _cuts(keys: np.ndarray, level: int, ranges: int) -> np.ndarray:
 
 
 def _request(order: int, ranges: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        block, part = int(g["block"].iat[0]), int(g["part"].iat[0])
-        rows = []
-        for level, grams in enumerate(ngrams(g["text"].tolist(), order)[0], 1):
-            keys, counts = np.unique(grams, return_counts=True)
-            counts = counts.astype(np.uint32)
-            cuts = _cuts(keys, level, ranges)
-            for r in range(ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b:
-                    rows.append((level, r, block, part, _pack(np.diff(keys[a:b], prepend=U64(0))), _pack(counts[a:b])))
-        return pd.DataFrame(rows, columns=["level", "rng", "block", "part", "keys", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, part = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                texts = batch.column(2)[at].as_py()
+                for level, grams in enumerate(ngrams(texts, order)[0], 1):
+                    keys, counts = np.unique(grams, return_counts=True)
+                    counts = counts.astype(np.uint32)
+                    cuts = _cuts(keys, level, ranges)
+                    own = np.flatnonzero(np.diff(cuts))
+                    packed = [(_pack(np.diff(keys[a:b], prepend=U64(0))), _pack(counts[a:b])) for a, b in zip(cuts[own], cuts[own + 1], strict=True)]
+                    n = len(own)
+                    columns = [pa.array([level] * n, pa.int32()), pa.array(own, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([part] * n, pa.int32())]
+                    columns += [pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "rng", "block", "part", "keys", "counts"])
 
     return run
 
@@ -129,21 +168,22 @@ def _estimates(counts: list[np.ndarray], first: np.ndarray, n: float) -> tuple[n
     token = np.ones(len(counts[0]), bool)
     token[first] = False
     at = np.flatnonzero(token)
-    rows, context = [], np.full(len(at), n)
+    rows, seen = [], np.zeros(len(at), int)
+    bucket = np.zeros(len(at), int)
     for k in range(len(counts), 0, -1):
         below = counts[k - 2][at - 1] if k > 1 else np.full(len(at), n)
         if k == len(counts):
-            context = below
+            bucket = np.floor(np.log2(np.maximum(below, 1))).astype(int) + 1
+        seen += below > 0  # a context that is seen has all its shorter ones seen
         rows.append(np.divide(counts[k - 1][at], below, out=np.zeros(len(at)), where=below > 0))
-    bucket = np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(int) + 1, 0)
-    return at, np.stack(rows), bucket
+    return at, np.stack(rows), np.where(seen == len(counts), bucket, BUCKETS + seen)
 
 
 def _histogram(order: int, n_rest: float):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({"cell": [], "n": []})
-        _, p, bucket = _estimates(*_looked_up(docs["text"].tolist(), answers, "rest", order), n_rest)
+        _, p, bucket = _estimates(*_looked_up(list(docs["texts"].iat[0]), answers, "rest", order), n_rest)
         cells = np.where(p > 0, np.rint(-np.log2(np.where(p > 0, p, 1)) * CELLS), -1).astype(np.int32)
         cells, n = np.unique(np.vstack([bucket.astype(np.int32), cells]), axis=1, return_counts=True)
         return pd.DataFrame({"cell": list(cells.T), "n": n})
@@ -152,31 +192,39 @@ def _histogram(order: int, n_rest: float):
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, v: float) -> np.ndarray:
-    """Weights per context bucket, by EM on counted cells (bucket, then -log2 estimates); rows sum to one."""
+    """Weights per context bucket, by EM on counted cells (bucket, then -log2 estimates); rows sum to one.
+
+    Buckets without a cell take the mixture of all, or the next lower bucket's
+    weights; orders that are absent from a bucket weigh nothing there.
+    """
     order = cells.shape[1] - 1
+    present = np.ones((BUCKETS + order, order + 1), bool)
+    for seen in range(order):
+        present[BUCKETS + seen, : order - seen] = False
     p = np.where(cells[:, 1:] < 0, 0.0, np.exp2(-cells[:, 1:] / CELLS))
     p = np.hstack([p, np.full((len(p), 1), 1 / (v + 1))])
-    top = int(cells[:, 0].max()) + 1 if len(cells) else 1
-    weights = np.full((64, order + 1), 1 / (order + 1))
+    weights = present / present.sum(1, keepdims=True)
     everyone = weights[0].copy()
     for _ in range(EM_ROUNDS):
         share = everyone * p
         everyone = (share / share.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum() if len(n) else everyone
         share = weights[cells[:, 0]] * p
         share = share / share.sum(1, keepdims=True) * n[:, None]
-        for k in range(order + 1):
-            weights[:top, k] = np.bincount(cells[:, 0], share[:, k] + 0.0, top)
-        weights[:top] += everyone  # one token's worth of the mixture of all buckets
-        weights[:top] /= weights[:top].sum(1, keepdims=True)
-    weights[top:] = weights[top - 1]
-    return np.maximum(weights, 1e-12)
+        weights = np.stack([np.bincount(cells[:, 0], share[:, k], len(weights)) for k in range(order + 1)], 1).astype(float)
+        weights += everyone  # one token's worth of the mixture of all buckets
+        weights = np.maximum(weights, 1e-12) * present
+        weights /= weights.sum(1, keepdims=True)
+    known = cells[cells[:, 0] < BUCKETS, 0] if len(cells) else np.array([0])
+    top = int(known.max(initial=0))
+    weights[top + 1 : BUCKETS] = weights[top]
+    return weights
 
 
 def _score(order: int, n: float, v: float, weights: np.ndarray):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame(columns=[c.split()[0] for c in _SCORE.split(", ")])
-        counts, first = _looked_up(docs["text"].tolist(), answers, "counts", order)
+        counts, first = _looked_up(list(docs["texts"].iat[0]), answers, "counts", order)
         at, p, bucket = _estimates(counts, first, n)
         own = counts[0][at]
         chance = weights[bucket, order] / (v + 1)
@@ -185,8 +233,8 @@ def _score(order: int, n: float, v: float, weights: np.ndarray):
         begin = first - np.arange(len(first))  # the start places are left out of ``at``
         return pd.DataFrame(
             {
-                "doc_id": docs["doc_id"],
-                "held_out": docs["part"] == TEST,
+                "doc_id": list(docs["ids"].iat[0]),
+                "held_out": docs["part"].iat[0] == TEST,
                 "n_tokens": np.diff(np.append(begin, len(at))),
                 "n_known": np.add.reduceat((own > 0).astype(np.int64), begin),
                 "train_tokens": int(n),
@@ -213,29 +261,24 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     stage = Stage(docs.sparkSession, "interpolation")
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
-    ranges = max(LEAST_RANGES, 1 << math.ceil(math.log2(max(1, order * size / BLOCK_BYTES / 2))))
-    own = max(1, blocks // 5)
-    docs = docs.withColumn("_r", F.expr("crc32(cast(coalesce(doc_id, '') as binary)) % 5"))
-    docs = docs.withColumn("part", F.expr(f"case _r when 1 then {TEST} when 0 then {DELETED} else {TRAIN} end").cast("int"))
-    docs = docs.withColumn(
-        "block",
-        F.expr(f"cast(case part when {TEST} then pmod(xxhash64(doc_id, text), {own}) when {DELETED} then {own} + pmod(xxhash64(doc_id, text), {own}) else {2 * own} + pmod(xxhash64(doc_id, text), {blocks - 2 * own}) end as int)"),
-    ).drop("_r")
-
-    requests = docs.groupBy("block").applyInPandas(_request(order, ranges), _REQUEST)
+    ranges = max(LEAST_RANGES, 1 << math.ceil(math.log2(max(1, order * size / RANGE_BYTES))))
+    rest = F.expr("crc32(cast(coalesce(doc_id, '') as binary)) % 5")
+    docs = docs.withColumn("part", F.when(rest == 1, TEST).when(rest == 0, DELETED).otherwise(TRAIN).cast("int"))
+    # small input partitions are read together, so that blocks are full
+    docs = docs.coalesce(max(LEAST_TASKS, math.ceil(size / (4 * BLOCK_BYTES))))
+    blocks = stage.put(docs.mapInArrow(_blocks, _BLOCK), "blocks")
+
+    requests = blocks.select("block", "part", "texts").mapInArrow(_request(order, ranges), _REQUEST)
     answers = stage.put(requests.groupBy("level", "rng").applyInPandas(_answer, _ANSWER), "answers")
     n, v, n_rest, v_rest = (x or 0.0 for x in answers.agg(*(F.sum(c) for c in ("n", "v", "n_rest", "v_rest"))).first())
 
-    def meet(docs: DataFrame, answers: DataFrame, column: str):
+    def meet(blocks: DataFrame, answers: DataFrame, column: str):
         answers = answers.select("block", "level", "rng", column)
-        return docs.groupBy("block").cogroup(answers.groupBy("block"))
+        return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
-    deleted = meet(docs.where(f"part = {DELETED}"), answers.where(f"part = {DELETED}"), "rest")
+    deleted = meet(blocks.where(f"part = {DELETED}").drop("ids"), answers.where(f"part = {DELETED}"), "rest")
     cells = deleted.applyInPandas(_histogram(order, n_rest), _CELLS).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    if len(cells):
-        weights = learn_weights(np.stack(cells["cell"].to_numpy()).astype(int), cells["n"].to_numpy(float), v_rest)
-    else:
-        weights = np.full((64, order + 1), 1 / (order + 1))
-    scored = meet(docs, answers, "counts").applyInPandas(_score(order, n, v, weights), _SCORE)
+    listed = np.stack(cells["cell"].to_numpy()).astype(int) if len(cells) else np.empty((0, order + 1), int)
+    weights = learn_weights(listed, cells["n"].to_numpy(float), v_rest)
+    scored = meet(blocks, answers, "counts").applyInPandas(_score(order, n, v, weights), _SCORE)
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
