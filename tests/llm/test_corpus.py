@@ -340,13 +340,44 @@ def test_op9_groups_recall_and_odd_vectors(spark):
 def test_op9_rotation_learns_from_classes(spark, monkeypatch):
     r = np.random.default_rng(6)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.repeat(r.normal(size=(50, 16)), 30, axis=0))]
-    learned, plain = [], itq.learn_rotation
+    learned, plain = [], itq.Code.__init__
     monkeypatch.setattr(itq, "SAMPLE", 20)
-    monkeypatch.setattr(itq, "learn_rotation", lambda x: learned.append(x) or plain(x))
+    monkeypatch.setattr(itq.Code, "__init__", lambda self, x, *more: learned.append(x) or plain(self, x, *more))
     got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert len(np.unique(learned[0], axis=0)) == 20 and all(x["n_links"] >= 29 for x in got)
 
 
+@pytest.mark.parametrize("dims", [64, 256, 768])
+def test_op9_recall_at_usual_dimensions(spark, dims, monkeypatch):
+    """Pairs a little above the threshold among unrelated vectors, and one large tight group over several blocks."""
+    monkeypatch.setattr(itq, "BLOCK", 64)
+    r = np.random.default_rng(dims)
+    a, noise = r.normal(size=(2, 1000, dims))
+    noise -= a * ((a * noise).sum(1) / (a * a).sum(1))[:, None]
+    noise *= (np.linalg.norm(a, axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+    b = 0.935 * a + math.sqrt(1 - 0.935**2) * noise
+    tight = r.normal(size=dims) + 0.1 * r.normal(size=(300, dims))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([a, b, tight]))]
+    got = {x["vec_id"]: x for x in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert np.mean([got[1000 + i]["component_id"] == i for i in range(1000)]) >= 0.95
+    assert {got[i]["n_links"] for i in range(2000)} <= {0, 1}
+    assert all(got[2000 + i]["component_id"] == 2000 for i in range(300)) and np.mean([got[2000 + i]["n_links"] for i in range(300)]) > 298
+
+
+def test_op9_empty_table_and_clashing_columns(spark):
+    names = "rep long, n long, class long, bucket long, root long, raw string, m long, k long, node long"
+    rows = [(i, [1.0, float(i // 2), 3.0], i % 2, *[i] * 9) for i in range(6)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label int, {names}")
+    assert itq.near_vectors(df).columns == ["vec_id", "n_links", "component_id", "kept"] and itq.near_vectors(df).count() == 6
+    assert itq.near_vectors(df.where("false")).collect() == []
+
+
+def test_op9_repeated_ids_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.0, 2.0, 0.1], 0), (3, [1e300, 0.0, 1e299], 0), (4, [1e-310, 0.0, 0.0], 0)]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(1, 3, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)}
+
+
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
