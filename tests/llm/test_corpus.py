@@ -527,3 +527,27 @@ def test_pipeline_stages_take_effect(spark, texts):
         now = after
     packed = corpus_pipeline.STAGES[4][1](spark, now, SMALL)
     assert packed.select("doc_id").distinct().count() == now.count()
+
+
+def test_op4_signature_bounds_are_exact_tails():
+    for n in (minhash.OTHERS, minhash.COORDINATES):
+        allowed = minhash.most_likely_shares(n)
+        assert (np.diff(allowed) >= 0).all() and allowed[n] > 0.999999
+        for k in (0, n // 4, n // 2, n - 2):
+            assert minhash.tail(n, k, allowed[k]) <= 1.01 * minhash.MISS and minhash.tail(n, k, allowed[k] - 1e-6) >= 0.99 * minhash.MISS
+
+
+def test_op4_near_copies_of_a_very_long_text(spark, monkeypatch):
+    """Bitmaps of a long leader are kept in small blocks; links are as on full sets."""
+    monkeypatch.setattr(minhash, "BLOCK_BITS", 1 << 18)
+    r = np.random.default_rng(8)
+    base = [f"w{x}" for x in r.integers(0, 5000, 20_000)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for p in r.integers(0, len(base), 100 * (i % 9)):
+            words[p] = f"edit{r.integers(0, 10**6)}"
+        rows.append((i + 10, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    assert got == _classes(sets, 80)

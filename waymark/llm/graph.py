@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.plans.staging import Stage
@@ -39,17 +39,18 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     return roots.unionByName(e.selectExpr("v node", "v root").distinct())
 
 
-def block_pairs(df: DataFrame, key: str, member: str, size: int) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, member: str, size: int | Column) -> DataFrame:
     """Deal the members of each key into blocks and pairs of blocks.
 
     Every pair of members of a key meets in exactly one group ``(key, bi, bj)``
     when one is in block bi and the other in bj (or both in one block, bi = bj).
-    No group holds more than about ``2 * size`` members, whatever the key holds.
+    No group holds more than about ``2 * size`` members, whatever the key holds;
+    ``size`` is a number or an aggregate of the key's rows.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    size = F.lit(size) if isinstance(size, int) else size
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.ceil(F.count("*") / size).cast("int").alias("_k")).where("_n > 1")
     dealt = (
         df.join(counts, key)
-        .withColumn("_k", F.ceil(F.col("_n") / F.lit(size)).cast("int"))
         .withColumn("_b", F.expr(f"cast(pmod(xxhash64({member}, 7), _k) as int)"))
         .withColumn("_o", F.explode(F.expr("sequence(0, _k - 1)")))
     )

@@ -10,14 +10,17 @@ so they never make pairs.  Within a bucket the members are first compared with
 one leader, the member whose buckets are fullest; whatever is then in one
 component needs no further comparison.  Buckets that still hold several
 components look at the rest in blocks of bounded size.  There the comparison
-with the leader bounds every pair exactly: what two members share lies in the
-leader's set, of which each carries a bitmap, or among their few other
-shingles.  Only pairs that this bound and the signatures allow are verified,
-each from the first bucket in which it meets.
+with the leader bounds every pair: what two members share lies in the leader's
+set, of which each carries a bitmap (an exact count), or among their few other
+shingles, whose number is bounded exactly and by a small signature.  Only pairs
+that these bounds and the signatures allow are verified, each from the first
+bucket in which it meets.  A signature rules a pair out only where a pair with
+the similarity it needs would agree so rarely with probability ``MISS`` at most.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.graph import block_pairs, by_group, components
-from waymark.llm.text import U64, as_bytes, mix, shingle_hashes, sorted_sets, word_hashes
+from waymark.llm.text import U64, as_bytes, byte_slices, mix, shingle_hashes, sorted_sets, word_hashes
 from waymark.plans.staging import Stage
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Members of a bucket compared with each other at once.
-BLOCK = 512
+#: Members of a bucket compared with each other at once, and bits of their leader's set that a block's bitmaps may hold together.
+BLOCK, BLOCK_BITS = 512, 1 << 28
+#: Bytes of the bitmaps that are unpacked at once.
+UNPACKED = 1024
 #: Pairs that share a leader and are verified in one group of rows.
 SALT_ROWS = 256
-#: A pair is verified if its signatures agree on this share less than the threshold
-#: (over five standard deviations at 128 coordinates).
-SLACK = 0.2
+#: Chance at most, by the exact binomial tail, that signatures of a true pair agree so rarely that it isn't verified.
+MISS = 1e-9
 #: Coordinates of the signature of the shingles that a leader lacks.
 OTHERS = 32
 
@@ -85,8 +89,8 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
 def _facts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at, to in byte_slices(batch.column(1)):
+                rows = batch.slice(at, to - at)
                 values, offsets = sorted_sets(*shingle_hashes(*word_hashes(as_bytes(rows.column(1).to_pylist())), k))
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
@@ -123,8 +127,29 @@ def _others_signature(values: np.ndarray) -> bytes:
     """Low bytes of a MinHash signature of the shingles that the leader lacks."""
     if not len(values):
         return b""
-    shifted = mix((values[:, None] + np.arange(1, OTHERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(-1))
-    return shifted.reshape(len(values), OTHERS).min(0).astype(np.uint8).tobytes()
+    least = np.full(OTHERS, np.iinfo(U64).max, U64)
+    for at in range(0, len(values), 1 << 14):  # a bounded part at once
+        part = values[at : at + (1 << 14), None]
+        shifted = mix((part + np.arange(1, OTHERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(-1))
+        least = np.minimum(least, shifted.reshape(len(part), OTHERS).min(0))
+    return least.astype(np.uint8).tobytes()
+
+
+def tail(n: int, k: int, p: float) -> float:
+    """The chance that of n trials with chance p no more than k succeed."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def most_likely_shares(n: int, miss: float = MISS) -> np.ndarray:
+    """For each number k of n coordinates that agree, the largest similarity at which so few agree with a chance of ``miss`` or more."""
+    out = []
+    for k in range(n + 1):
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if tail(n, k, middle) >= miss else (low, middle)
+        out.append(high)
+    return np.array(out)
 
 
 _VERIFIED = "a long, b long, linked boolean, shared binary, others binary"
@@ -136,8 +161,8 @@ def _verify(k: int, percent: int, describe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_text, last_set = None, None, np.empty(0, U64)
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):  # texts of few pairs at once
-                batch = whole.slice(start, 64)
+            for start, stop in byte_slices(whole.column(2)):  # texts of few pairs at once
+                batch = whole.slice(start, stop - start)
                 a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
                 linked = np.zeros(len(a), bool)
                 shared: list = [None] * len(a)
@@ -166,10 +191,11 @@ def _verify(k: int, percent: int, describe: bool):
 def _close_pairs(percent: int):
     """Pairs of different components in one block pair that may be linked.
 
-    Pruned exactly by sizes and by the bound that the bucket's leader gives, and
-    by signatures beyond five standard deviations.
+    Pruned exactly by sizes and by what both share with the bucket's leader, and
+    by signatures where a linked pair would be ruled out with chance MISS at most.
     """
-    need = COORDINATES * (percent / 100 - SLACK)
+    allowed, allowed_others = most_likely_shares(COORDINATES), most_likely_shares(OTHERS)
+    need = int(np.searchsorted(allowed, percent / 100))  # coordinates in which a linked pair agrees at least
     share = percent / (100 + percent)  # of the sizes' sum, which two linked sets have in common
 
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -179,38 +205,42 @@ def _close_pairs(percent: int):
         keys = band_keys(sig)
         ids, root, n, blk = (g[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "_b"))
         inner = g["bi"].iat[0] == g["bj"].iat[0]
+        left = np.flatnonzero(blk == g["bi"].iat[0])
+        right = left if inner else np.flatnonzero(blk == g["bj"].iat[0])
         told = g["shared"].notna().to_numpy()  # the others differ from the leader by size alone
         width = max((len(x) for x in g["shared"] if x is not None), default=0)
         bits = np.zeros((len(g), width), np.uint8)
         other = np.zeros((len(g), OTHERS), np.uint8)
         for i, (x, y) in enumerate(zip(g["shared"], g["others"], strict=True)):
             if x is not None:
-                bits[i] = np.frombuffer(x, np.uint8)
+                bits[i, : len(x)] = np.frombuffer(x, np.uint8)
                 if y:
                     other[i] = np.frombuffer(y, np.uint8)
-        bits = np.unpackbits(bits, axis=1).astype(np.float32)
-        rest = np.maximum(n - bits.sum(1).astype(int), 0)  # the leader's own bitmap is padded
+        inside, held = np.zeros((len(left), len(right)), np.float32), np.zeros(len(g), np.int64)
+        for at in range(0, width, UNPACKED):
+            part = np.unpackbits(bits[:, at : at + UNPACKED], axis=1).astype(np.float32)
+            inside += part[left] @ part[right].T
+            held += part.sum(1).astype(np.int64)
+        rest = np.maximum(n - held, 0)  # the leader's own bitmap is padded
         found = []
-        for i in range(len(g)):
-            at = np.flatnonzero((root != root[i]) & ((blk != blk[i]) | inner) & (ids > ids[i]))
+        for row, i in enumerate(left):
+            col = np.flatnonzero((root[right] != root[i]) & ((ids[right] > ids[i]) | (not inner)))
+            at = right[col]
             least = share * (n[at] + n[i])
             ok = np.minimum(n[at], n[i]) >= least - 1e-9
-            at, least = at[ok], least[ok]
+            at, least, col = at[ok], least[ok], col[ok]
             if told[i] and len(at):
-                inside = bits[at] @ bits[i]
-                few = np.minimum(rest[at], rest[i])
-                bound = inside + few >= least - 1e-9
-                want = np.maximum(least - inside, 0)
-                j = want / np.maximum(rest[at] + rest[i] - want, 1)
-                j = np.clip(j, 0, 1)
-                agree = (other[at] == other[i]).sum(1)
-                bound &= (want <= 0) | (agree >= OTHERS * (j - 5 * np.sqrt(j * (1 - j) / OTHERS)))
+                both = inside[row, col]
+                bound = both + np.minimum(rest[at], rest[i]) >= least - 1e-9
+                want = np.maximum(least - both, 0)
+                j = np.clip(want / np.maximum(rest[at] + rest[i] - want, 1), 0, 1)
+                bound &= (want <= 0) | (j <= allowed_others[(other[at] == other[i]).sum(1)])
                 at = at[bound | ~told[at]]
             if len(at):
                 same = sig[at] == sig[i]
                 bands = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
                 at = at[(same.sum(1) >= need) & (keys[i, bands] == g["key"].iat[0])]
-                found.append(np.stack([ids[at], np.full(len(at), ids[i])], 1))
+                found.append(np.stack([np.maximum(ids[at], ids[i]), np.minimum(ids[at], ids[i])], 1))
         if not found:
             return None
         pairs = np.concatenate(found)
@@ -274,8 +304,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         known = first.selectExpr("a doc_id", "b l", "shared", "others")
         dealt = members.join(sigs, "doc_id").join(led.select("key", "l", "l_size"), "key").join(known, ["doc_id", "l"], "left")
         whole = F.expr("cast(unhex(repeat('FF', cast(ceil(l_size / 8) as int))) as binary)")
-        dealt = dealt.withColumn("shared", F.when(F.col("doc_id") == F.col("l"), whole).otherwise(F.col("shared"))).drop("l", "l_size")
-        dealt = block_pairs(dealt, "key", "doc_id", BLOCK)
+        dealt = dealt.withColumn("shared", F.when(F.col("doc_id") == F.col("l"), whole).otherwise(F.col("shared"))).drop("l")
+        size = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.lit(BLOCK_BITS) / F.max("l_size")))
+        dealt = block_pairs(dealt, "key", "doc_id", size).drop("l_size")
         dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         pairs = dealt.mapInPandas(_close_pairs(percent), "a long, b long").distinct()
         tried = first.select("a", "b").unionByName(first.selectExpr("b a", "a b"))

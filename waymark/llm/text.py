@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text hashed at once; a longer text makes a chunk of its own.
@@ -54,6 +56,21 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def byte_slices(*columns: pa.Array, most: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
+    """Row ranges ``[start, stop)`` in which the texts of the columns hold ``most`` bytes or so; a longer row is alone."""
+    rows = len(columns[0])
+    ends = np.zeros(rows, np.int64)
+    for column in columns:
+        sizes = pc.fill_null(pc.binary_length(column), 0)
+        ends += np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, to
+        at = to
+
+
 def as_bytes(texts: list) -> list[bytes]:
     """UTF-8 bytes of texts; a null text is empty."""
     return [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
