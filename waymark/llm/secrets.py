@@ -3,9 +3,11 @@
 The base patterns find credentials of three kinds.  A bounded sample of their
 values, with ordinary tokens of the same texts as background, trains
 probabilistic automata: prefix trees over character classes whose states are
-merged where Hoeffding's bound does not tell their futures apart.  Every other
-candidate of the whole text is then scored by its likelihood under each format
-against the background; likely ones become spans of kind ``format``.
+merged where Hoeffding's bound does not tell their futures apart.  Ordinary
+tokens hold unlabelled credentials too: those that the formats explain far better
+leave the background, which is then inferred again.  Every other candidate of the
+whole text is scored by its likelihood under each format against the background;
+likely ones become spans of kind ``format``.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ ALPHA = 0.05
 #: Bounds of the driver's memory in training only: characters of a value that travel, and symbols of a prefix tree.
 #: Scoring reads every character.  A value that is cut here has no end there.
 MOST_SENT, MOST_TREE = 4096, 400_000
-#: Mean log-likelihood ratio per character (nats) from which a candidate is a span.
-LEAST_RATIO = 1.0
+#: Log-likelihood ratio (nats) of the whole candidate, and of it per character, from which it is a span: the first
+#: stands for how rare credentials are among tokens, the second for how far models may err over a long token.
+LEAST_ODDS, LEAST_PER_CHARACTER = 8.0, 0.15
+#: Rounds at most in which the background sheds what the formats explain.
+SHEDDING = 3
 
 # The base patterns of the three kinds.
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -184,29 +189,49 @@ class Formats:
 
     def __init__(self, values: dict[str, list[str]], background: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(values.items()) if v}
-        self.background = Automaton(background)
-
-        self._known: dict[str, float] = {}
+        self.background = Automaton(self._plain(background))
+        self._known: dict[str, bool] = {}
+
+    def _plain(self, background: list[str]) -> list[str]:
+        """The background without what the formats explain far better; a half of it judges the other, as none knows its own tokens."""
+        halves = [sorted(set(background))[k::2] for k in (0, 1)]
+        plain = halves
+        for _ in range(SHEDDING):
+            other = [Automaton(part) for part in plain[::-1]]
+            kept = [[w for w in part if not self._far(self._best(symbols(w)) - a.log_likelihood(w), len(w))] for part, a in zip(halves, other, strict=True)]
+            if kept == plain or not all(kept):
+                break
+            plain = kept
+        return plain[0] + plain[1]
+
+    def _best(self, classes: str) -> float:
+        return max((f.log_likelihood_of(classes) for f in self.formats.values()), default=-math.inf)
+
+    @staticmethod
+    def _far(odds: float, n: int) -> bool:
+        return odds >= max(LEAST_ODDS, LEAST_PER_CHARACTER * (n + 1))
+
+    def odds(self, token: str) -> float:
+        """Log-likelihood ratio of the best format against the background, over the whole token."""
+        classes = symbols(token)
+        return self._best(classes) - self.background.log_likelihood_of(classes)
 
-    def ratio(self, token: str) -> float:
-        """Mean log-likelihood ratio per character of the best format against the background, over the whole token."""
-        if not self.formats:
-            return -math.inf
+    def is_likely(self, token: str) -> bool:
+        """Whether a token is far more likely under a format than as an ordinary token."""
         classes = symbols(token)
         out = self._known.get(classes)
         if out is None:
-            best = max(f.log_likelihood_of(classes) for f in self.formats.values())
-            out = (best - self.background.log_likelihood_of(classes)) / (len(classes) + 1)
+            out = self._far(self.odds(token), len(token))
             if len(classes) <= 64 and len(self._known) < 100_000:  # a worker's memory; others are computed again
                 self._known[classes] = out
         return out
 
     def likely(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         """The token itself if it is likely, else its likely parts between ``/``, ``=`` and ``.``."""
-        if self.ratio(text[a:b]) >= LEAST_RATIO:
+        if self.is_likely(text[a:b]):
             return [(a, b)]
         parts = [m.span() for m in _PART.finditer(text, a, b)]
-        return [(x, y) for x, y in parts if (x, y) != (a, b) and self.ratio(text[x:y]) >= LEAST_RATIO]
+        return [(x, y) for x, y in parts if (x, y) != (a, b) and self.is_likely(text[x:y])]
 
 
 def _hash(value: str) -> int:
@@ -238,7 +263,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = {k: _Least() for k in [*KINDS, "background"]}
     for batch in batches:
         seen: dict[str, set[str]] = {k: set() for k in least}
-        for text in batch.column(0).to_pylist():
+        for text in batch.column(0):
+            text = text.as_py()
             if not text:
                 continue
             spans = base_spans(text)
@@ -278,8 +304,8 @@ def _scan(formats: Formats | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc_id, text = doc_id.as_py(), text.as_py() or ""
                 base = base_spans(text)
                 more, taken = [], Cover(base)
                 for a, b in candidates(text) if formats else ():
