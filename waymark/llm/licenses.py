@@ -9,6 +9,7 @@ A run of ``K + WINDOW - 1`` equal words always shares a fingerprint.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -17,24 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.text import U64, as_bytes, shingle_hashes, word_hashes
+from waymark.llm.text import U64, as_bytes, byte_slices, shingle_hashes, word_hashes
 
 K, WINDOW, BAND = 3, 3, 8
 #: Share of a template that must be matched, and of the matched stretch that must be template words.
 LEAST_COVERAGE, LEAST_DENSITY = 0.6, 0.5
-#: Templates travel to every task; their words are bounded.
+#: Words of the templates that travel to a task at once; more are scanned for in several passes over the texts.
 MOST_TEMPLATE_WORDS = 2_000_000
 
-# Short notices of common licenses.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD_CLAUSES = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+# Published license texts, file notices and short notices.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "bsd": _BSD_GRANT,
+    "bsd-2-clause-text": f"{_BSD_GRANT} {_BSD_CLAUSES} {_BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{_BSD_GRANT} {_BSD_CLAUSES} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "mit-short": "Released under the MIT License.",
+    "mit-text": f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,8 +71,6 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         words, offsets = word_hashes(as_bytes([templates[n] for n in self.names]))
-        if len(words) > MOST_TEMPLATE_WORDS:
-            raise ValueError(f"templates have {len(words)} words; at most {MOST_TEMPLATE_WORDS} travel to the tasks")
         self.words = [words[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
         runs, bounds = shingle_hashes(words, offsets, K)
         own = [(runs[a:b], winnow(runs[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -149,8 +162,8 @@ def _scan(index: Index):
         for batch in batches:
             rows = []
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 512):
-                texts = batch.column(1).slice(at, 512).to_pylist()
+            for at, to in byte_slices(batch.column(1)):
+                texts = batch.column(1).slice(at, to - at).to_pylist()
                 words, offsets = word_hashes(as_bytes(texts))
                 runs, bounds = shingle_hashes(words, offsets, K)
                 for i, text in enumerate(texts):
@@ -172,7 +185,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     Returns doc_id, template, start and end (code points, end exclusive),
     matched_words, template_words and coverage.  Null, empty and clean texts have
     no row; repeated rows and null doc_ids report each on their own; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  Templates without words
+    match nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scan(Index(TEMPLATES if templates is None else templates)), _FOUND)
+    passes = [docs.mapInArrow(_scan(Index(part)), _FOUND) for part in template_parts(TEMPLATES if templates is None else templates)]
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
+def template_parts(templates: dict[str, str]) -> list[dict[str, str]]:
+    """The templates in parts of MOST_TEMPLATE_WORDS words at most; a longer one is alone, and one part may be empty."""
+    parts: list[dict[str, str]] = [{}]
+    left = MOST_TEMPLATE_WORDS
+    for name in sorted(templates):
+        n = len(_WORD.findall(templates[name]))
+        if n > left and parts[-1]:
+            parts.append({})
+            left = MOST_TEMPLATE_WORDS
+        parts[-1][name] = templates[name]
+        left -= n
+    return parts
