@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.text import byte_slices
 from waymark.llm.tokens import encoder
 from waymark.plans.staging import Stage
 
 #: Pieces per partition (one task's memory) and the least number of partitions.
 PARTITION_ROWS, LEAST_PARTITIONS = 100_000, 24
-#: Rounds of exchange; each pools four times as many sequences as the one before.
-MOST_ROUNDS = 8
+#: Each round of exchange pools this many times as many sequences as the one before.
+WIDER = 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ids travel as text through pandas, which would round large ones beside a null
@@ -37,8 +38,8 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at, to in byte_slices(batch.column(1)):
+                rows = batch.slice(at, to - at)
                 ids, offsets = encode(rows.column(1).to_pylist())
                 raw, bounds = ids.tobytes(), offsets.tolist()
                 out = []
@@ -121,7 +122,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
 
     A document is its ids under the tokenizer file, then id 0.  Longer ones are
     cut into pieces of ``capacity`` ids of which the first may be shorter.
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset, and
+    beside them the certificate: n_sequences, and least_sequences, the lower bound
+    that dual-feasible functions of all lengths prove for any packing.
 
     Null and empty texts are the one id 0.  Repeated rows and null doc_ids are
     separate documents.  An empty table gives no rows; other columns are ignored.
@@ -132,31 +135,41 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
 
     def packed(rows: DataFrame, parts: int, turn: int) -> DataFrame:
         rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), *pieces.columns[1:]).withColumn("turn", F.lit(turn))
-        rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {parts}) as int)"))
+        # dealt by place in the written table, so that rows that repeat are spread too
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).cast("int"))
         return stage.put(rows.groupBy("part").applyInPandas(_pack(capacity), _PACKED), "packed")
 
     lengths = pieces.groupBy("length").count().toPandas()  # at most ``capacity`` rows
     state = packed(pieces, max(LEAST_PARTITIONS, math.ceil(lengths["count"].sum() / PARTITION_ROWS)), 0)
     bound = _bound_of_counts(lengths["length"].to_numpy(int), lengths["count"].to_numpy(float), capacity)
-    for turn in range(1, MOST_ROUNDS + 1):
+    least, turn, made, tried = math.ceil(bound - 1e-9), 0, 0, 0
+    while True:  # pools widen to all sequences that aren't full; then the first one that saves none is the last
+        turn += 1
         fills = state.groupBy("turn", "part", "bin").agg(F.max("fill").alias("fill"), F.max("open").alias("open"))
         by_fill = fills.groupBy("fill").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("int")).alias("n_open")).toPandas().sort_values("fill")
-        excess = by_fill["n"].sum() - math.ceil(bound - 1e-9)  # at most ``capacity`` rows again
+        made = int(by_fill["n"].sum())  # at most ``capacity`` rows again
+        excess = made - least
         if excess <= 0:
             break
         partly = by_fill[by_fill["fill"] < capacity]
-        enough = partly[partly["n"].cumsum() >= 4**turn * 2 * excess]
-        level = int(enough["fill"].iat[0]) if len(enough) else capacity - 1
+        total = partly["n"].cumsum()
+        enough = partly[total >= WIDER**turn * 2 * excess]
+        fewer = partly[total <= WIDER**turn * 2 * excess]
+        if not len(enough):
+            level = capacity - 1
+        elif len(fewer) and int(fewer["fill"].iat[-1]) > tried:  # not yet the many of one fill that come next
+            level = int(fewer["fill"].iat[-1])
+        else:
+            level = int(enough["fill"].iat[0])
+        tried = level
         chosen = f"fill < {capacity} and (open or fill <= {level})"
         pool = state.where(chosen)
-        rows = pool.count()
-        again = packed(pool, math.ceil(rows / PARTITION_ROWS), turn)
-        before = fills.where(chosen).count()
-        if again.select("part", "bin").distinct().count() < before:
-            last, state = state, stage.put(state.where(f"not ({chosen})").unionByName(again), "state")
-            stage.drop(last)
+        again = packed(pool, max(1, math.ceil(pool.count() / PARTITION_ROWS)), turn)
+        if again.select("part", "bin").distinct().count() < fills.where(chosen).count():
+            state = state.where(f"not ({chosen})").unionByName(again)  # only what was pooled is written
+            tried = 0
         elif not len(enough):
             break
-        stage.drop(again)
     sequence = F.expr("shiftleft(cast(turn as bigint), 56) + shiftleft(cast(part as bigint), 28) + bin")
-    return state.select(F.col("doc_id").cast("long").alias("doc_id"), *pieces.columns[1:], sequence.alias("sequence_id"), "offset")
+    certificate = [F.lit(made).cast("long").alias("n_sequences"), F.lit(least).cast("long").alias("least_sequences")]
+    return state.select(F.col("doc_id").cast("long").alias("doc_id"), *pieces.columns[1:], sequence.alias("sequence_id"), "offset", *certificate)
