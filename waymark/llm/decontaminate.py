@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.plans.staging import Stage
 
-#: Windows (of at most ``window`` words) that are sent to every task; more are joined by a shuffle.
+#: Windows (of at most ``window`` words), and pairs of item and window, that are sent to every task; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 # The bytes that separate words, and the letters lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,7 +49,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = 10)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     owned = stage.put(item_windows(items, window), "owned")
     windows = stage.put(owned.select("seq").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
-    small = windows.count() <= MOST_BROADCAST
+    small, small_owned = windows.count() <= MOST_BROADCAST, owned.count() <= MOST_BROADCAST
     sent = F.broadcast if small else lambda df: df
 
     tokens = windows.select("wid", "seq", F.posexplode("seq").alias("off", "token"))
@@ -78,7 +78,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = 10)
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0))))
     n_hit = spans.withColumn("c", covered).groupBy(*doc).agg(F.sum("c").alias("n_hit"))
     ids = windows.join(owned, "seq").select("wid", "item").where("item is not null")
-    per_item = hits.select(*doc, "wid").distinct().join(sent(ids), "wid").select(*doc, "item").distinct()
+    per_item = hits.select(*doc, "wid").distinct().join(F.broadcast(ids) if small_owned else ids, "wid").select(*doc, "item").distinct()
     listed = per_item.groupBy(*doc).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("items"))
     found = n_hit.join(listed, [n_hit["doc_id"].eqNullSafe(listed["doc_id"]), n_hit["h"].eqNullSafe(listed["h"])], "left")
     found = found.select(n_hit["doc_id"].alias("d"), n_hit["h"].alias("g"), "n_hit", "n_items", "items")

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.sampling import smallest
-from waymark.llm.text import as_bytes, span_hashes
+from waymark.llm.text import as_bytes, byte_slices, span_hashes
 
-#: Bound of the labelled sample: documents per language.
-SAMPLE_PER_LANGUAGE = 60
+#: Bounds of the labelled sample that the field is fitted on: distinct texts per language, characters of such a text,
+#: and languages (those of most texts).  Prediction reads whole texts.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARACTERS, MOST_LANGUAGES = 60, 20_000, 200
 #: Bits of a hashed feature, and the longest n-gram in bytes.
 FEATURE_BITS, LONGEST = 18, 4
 ROUNDS, RATE, PENALTY = 20, 0.4, 1e-6
@@ -238,17 +239,11 @@ _PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_w
 
 def _judged(field: LanguageField, column: pa.Array) -> Iterator[tuple[str, float, int, int]]:
     """Language, score, words with letters and switches of each text, a bounded number of bytes at a time."""
-    if not len(column):
-        return
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1])
-    at = 0
-    while at < len(column):
-        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), BATCH_BYTES, "right")))
+    for at, to in byte_slices(column, most=BATCH_BYTES):
         shares = field.label(as_bytes(column.slice(at, to - at).to_pylist()))
         for row, n, s in zip(*(x.tolist() for x in shares), strict=True):
             best = max(row) if n else 0.0
             yield (field.langs[row.index(best)] if n else UNKNOWN), min(1.0, best), n, s
-        at = to
 
 
 def _predict(field: LanguageField):
@@ -264,18 +259,25 @@ def _predict(field: LanguageField):
 def _accept(field: LanguageField, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [lang != UNKNOWN and score >= least for lang, score, _, _ in _judged(field, batch.column("text"))]
+            column = batch.column("text")
+            if field.langs:
+                keep = [lang != UNKNOWN and score >= least for lang, score, _, _ in _judged(field, column)]
+            else:  # nothing was labelled: nothing can be told apart but texts without a letter
+                keep = [any(c.isalpha() for c in t or "") for t in column.to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def learn_languages(docs: DataFrame) -> LanguageField:
-    """Fit on at most SAMPLE_PER_LANGUAGE labelled documents of each language that are not held out, chosen by hash."""
-    rows = docs.where("not held_out and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    chosen = sorted({r["h"] for r in smallest(rows.select("lang", "h"), "lang", "h", SAMPLE_PER_LANGUAGE).collect()})
-    found = rows.where(F.col("h").isin(chosen)).select("lang", "h", "text").distinct().collect() if chosen else []
-    picked = sorted((r["lang"], r["h"], r["text"]) for r in found)
+    """Fit on SAMPLE_PER_LANGUAGE labelled texts of each language that are not held out: distinct ones, chosen by hash."""
+    rows = docs.where("not held_out and lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    known = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    known = known.where(F.col("lang").isin(langs)).select("lang", "h")
+    chosen = {(r["lang"], r["h"]) for r in smallest(known, "lang", "h", SAMPLE_PER_LANGUAGE).collect()}
+    found = rows.where(F.col("h").isin(sorted({h for _, h in chosen}))).select("lang", "h", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).distinct().collect() if chosen else []
+    picked = sorted((r["lang"], r["h"], r["text"]) for r in found if (r["lang"], r["h"]) in chosen)
     return LanguageField([t for _, _, t in picked], [lang for lang, _, _ in picked])
 
 
@@ -285,7 +287,10 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose text has a known language with a score of ``least`` or more, all columns unchanged."""
+    """The rows of ``docs`` whose text has a known language with a score of ``least`` or more, all columns unchanged.
+
+    Null texts and those without a letter go; where nothing is labelled, all others stay.  An empty table gives no rows.
+    """
     return docs.mapInArrow(_accept(learn_languages(_labelled(docs)), least), docs.schema)
 
 
