@@ -491,44 +491,6 @@ def test_components_of_a_long_chain(spark):
     assert {roots[i] for i in range(201)} == {0} and {roots[i] for i in range(300, 310)} == {300}
 
 
-def _words3(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-
-
-def test_pipeline_stages_take_effect(spark, texts):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    planted = spark.createDataFrame([(900_001, None, None, "x", 0), (None, "1 2 3", None, "x", 5), (900_002, texts[1], "en", "x", 1), (900_003, made_text(5, 30) + " a@b.example.org", "en", "x", 1)], docs.schema)
-    now = docs.unionByName(planted).repartition(2)
-    for name, step in corpus_pipeline.STAGES[:4]:
-        after = step(spark, now, SMALL).persist()
-        assert after.columns == docs.columns
-        kept = {r["doc_id"] for r in after.select("doc_id").collect()}
-        if name == "language_id":
-            assert None not in kept and 900_001 not in kept and 900_003 in kept
-        before = {r["doc_id"]: r["text"] or "" for r in now.select("doc_id", "text").collect()}
-        if name == "minhash_near_dedup":
-            assert 900_002 not in kept
-            split = {i: t.encode().lower().split() for i, t in before.items()}
-            sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in split.items()}
-            assert kept == {i for i, root in _classes(sets, 80).items() if i == root}
-        if name == "benchmark_decontamination":
-            items = duckdb.sql(f"SELECT text FROM '{SMALL}/benchmark.parquet'").fetchall()
-            listed = [_words3(t) for (t,) in items]
-            windows = {tuple(w[k : k + 10]) for w in listed for k in range(max(len(w) - 9, 1)) if w}
-            sizes = {len(w) for w in windows}
-            own = {i: _words3(t) for i, t in before.items()}
-            clean = {i for i, w in own.items() if not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
-            assert kept == clean and len(clean) < len(before)
-        if name == "pii":
-            assert after.where("doc_id = 900003").first()["text"].endswith(" [EMAIL]")
-            assert after.where(F.col("n_chars") != F.length("text")).count() == 0
-        now = after
-    packed = corpus_pipeline.STAGES[4][1](spark, now, SMALL)
-    assert packed.select("doc_id").distinct().count() == now.count()
-
-
 def test_op4_signature_bounds_are_exact_tails():
     for n in (minhash.OTHERS, minhash.COORDINATES):
         allowed = minhash.most_likely_shares(n)
