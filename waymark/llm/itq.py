@@ -31,8 +31,8 @@ from waymark.plans.staging import Stage
 
 #: Bound of the training sample, and alternations of a rotation's fit.
 SAMPLE, ROUNDS = 5000, 40
-#: Axes that are rotated at most; vectors of more dimensions are projected on these.
-AXES = 128
+#: Axes that are rotated at most (vectors of more dimensions are projected on these), and bits of a code at least.
+AXES, BITS = 128, 128
 #: Share of pairs at the threshold that all tables together may miss, and vectors of one label that a bucket should hold.
 MISS, BUCKET = 0.01, 256
 #: Members of a block, and rows of it that are compared at once (a worker's memory).
@@ -44,10 +44,10 @@ class Code:
 
     def __init__(self, x: np.ndarray, least: float, n: int):
         dims = x.shape[1]
-        self.width = max(10, math.ceil(math.log2(max(n, 1))) - int(math.log2(BUCKET)))
+        self.width = max(4, math.ceil(math.log2(max(n, 1))) - int(math.log2(BUCKET)))
         same = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi  # chance that a bit of a pair at the threshold agrees
         self.tables = max(1, math.ceil(math.log(MISS) / math.log1p(-min(same**self.width, 1 - MISS))))
-        bits = self.width * self.tables
+        self.bits_made = bits = max(BITS, self.width * self.tables)
         self.far = bits * (1 - same) + 6 * math.sqrt(bits * same * (1 - same)) + 1  # bits in which such a pair differs at most
         self.mean = x.mean(0) if len(x) > 1 else np.zeros(dims)
         centred = x - self.mean
@@ -63,7 +63,7 @@ class Code:
 
     def substrings(self, bits: np.ndarray) -> np.ndarray:
         """One number per vector and table."""
-        return bits.reshape(len(bits), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+        return bits[:, : self.tables * self.width].reshape(len(bits), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
 
 
 def learn_rotation(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -124,7 +124,7 @@ def _entries(fitted: dict[int, Code]):
             subs: list = []
             for raw, d in zip(batch.column("code").to_pylist(), batch.column("dims").to_pylist(), strict=True):
                 code = fitted[d]
-                subs.append(code.substrings(np.unpackbits(np.frombuffer(raw, np.uint8))[None, : code.tables * code.width])[0])
+                subs.append(code.substrings(np.unpackbits(np.frombuffer(raw, np.uint8))[None])[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subs, pa.list_(pa.int64()))], [*batch.schema.names, "subs"])
 
     return run
@@ -136,7 +136,7 @@ class _Block:
     def __init__(self, g: pd.DataFrame, code: Code):
         self.table = int(g["table"].iat[0])
         packed = np.stack([np.frombuffer(c, np.uint8) for c in g["code"]])
-        self.bits = np.unpackbits(packed, axis=1)[:, : code.tables * code.width]
+        self.bits = np.unpackbits(packed, axis=1)[:, : code.bits_made]
         self.subs = code.substrings(self.bits)
         b = g["_b"].to_numpy()
         self.left = np.flatnonzero(b == g["bi"].iat[0])
