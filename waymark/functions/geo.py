@@ -115,7 +115,11 @@ def wgs84_sql(x: str = "x", y: str = "y") -> dict[str, str]:
 
 
 def to_wgs84(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """``df`` with ``lng`` and ``lat`` of its EPSG:2326 metres."""
+    """``df`` with ``lng`` and ``lat`` of its EPSG:2326 metres.
+
+    The polynomials hold within AREA_X and AREA_Y, the grid's own area; a place
+    far outside is no place of this grid, and its degrees mean nothing.
+    """
     return df.withColumns({name: F.expr(text) for name, text in wgs84_sql(x, y).items()})
 
 

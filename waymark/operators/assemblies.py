@@ -36,14 +36,16 @@ def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None) -> D
     """Members of assemblies of two or more within the span cap, in order, with their layout.
 
     Assemblies that are too small or too wide leave before any row is ranked, so
-    only real posts reach the window.  Returns fid, gg, sign_id, stack_index,
+    only real posts reach the window.  Members that tie stand in file order where
+    ``members`` has an ``ord`` column, which is returned too, else by fid.  Returns fid, gg, sign_id, stack_index,
     stack_size, pic_w, anchor_x, anchor_y, stack_bearing, stack_off and stack_tier;
     anchor, bearing (null if the first member has none) and tier are the first member's.
     """
     posts = assembly_spans(members).where((F.col("stack_size") >= 2) & (F.col("span") <= SPAN_CAP)).drop("span")
     m = members.join(posts, "gg")
     m = m.join(bearings, "fid", "left") if bearings is not None else m.withColumn("face_bearing", F.lit(None).cast("double"))
-    order = Window.partitionBy("gg").orderBy("rank", "sign_id", "fid")
+    file_order = ["ord"] if "ord" in members.columns else []
+    order = Window.partitionBy("gg").orderBy("rank", "sign_id", *file_order, "fid")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     height = F.lit(COMMON_WIDTH) * F.col("h") / F.col("w")
     m = m.withColumn("_h", height)
@@ -62,9 +64,16 @@ def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None) -> D
         first["face_bearing"].alias("stack_bearing"),
         (js_round(centre / F.lit(STEP)) * F.lit(STEP)).cast("int").alias("stack_off"),
         first["tier"].alias("stack_tier"),
+        *file_order,
     )
 
 
-def sign_groups(stacks: DataFrame) -> DataFrame:
-    """Distinct (sign_id, gg) pairs of stacked assemblies: the companion index, long form."""
-    return stacks.select("sign_id", "gg").distinct()
+def companion_index(members: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Distinct (sign_id, gg) pairs of stacked assemblies, long form; with ``wanted`` only of assemblies that hold such a sign.
+
+    Nothing is ranked or laid out: sizes and spans are one aggregate.
+    """
+    if wanted is not None:
+        members = members.join(members.where(F.col("sign_id").isin(wanted)).select("gg").distinct(), "gg", "left_semi")
+    posts = assembly_spans(members).where((F.col("stack_size") >= 2) & (F.col("span") <= SPAN_CAP)).select("gg")
+    return members.select("sign_id", "gg").distinct().join(posts, "gg", "left_semi").select("sign_id", "gg")

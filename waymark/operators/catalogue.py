@@ -70,3 +70,14 @@ def picture_requests(features: DataFrame, catalogue: DataFrame) -> DataFrame:
     used = features.where("sign_id is not null").groupBy("sign_id").agg(stacked.alias("_s"))
     known = used.join(catalogue.select(F.col("code").alias("sign_id")), "sign_id", "left_semi")
     return known.select("sign_id", F.concat(F.when(F.col("_s") == 1, "signs-stacked/").otherwise("signs/"), "sign_id", F.lit(".png")).alias("path"))
+
+
+def with_picture(catalogue: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Catalogue rows whose code has a picture in ``pictures(code)``."""
+    return catalogue.join(pictures.select("code"), "code", "left_semi")
+
+
+def picture_counts(catalogue: DataFrame, pictures: DataFrame) -> DataFrame:
+    """How many catalogued codes have a picture, and how many miss one: columns present and missing."""
+    flagged = catalogue.select("code").join(pictures.select("code", F.lit(1).alias("_p")).distinct(), "code", "left")
+    return flagged.agg(F.count("_p").alias("present"), (F.count("*") - F.count("_p")).alias("missing"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.hits import last_by
+
 # The layer that carries signs, and the zoom from which whole assemblies show.
 SIGN_LAYER, WHOLE_ZOOM = "traffic-sign-abbreviation", 13
 
@@ -21,8 +23,10 @@ def enriched(features: DataFrame, bearings: DataFrame, stacks: DataFrame) -> Dat
     """Features with face_bearing and, if stacked, the assembly's place, order and bearing.
 
     Only the sign layer takes either.  A stacked feature takes its assembly's
-    bearing even if that is null.
+    bearing even if that is null.  Where the right sides have an ``ord`` column, a
+    later row of a fid replaces earlier ones; without it a fid must be unique there.
     """
+    bearings, stacks = (last_by(df, "fid", "ord") if "ord" in df.columns else df for df in (bearings, stacks))
     key = F.coalesce(F.col("fid").cast("string"), F.lit(""))
     f = features.withColumn("_k", F.when(F.col("category") == SIGN_LAYER, key))
     b = bearings.select(F.col("fid").alias("_k"), F.col("face_bearing").alias("_own"))

@@ -11,24 +11,22 @@ from pyspark.sql import functions as F
 HIT_PIXELS, WORLD_PIXELS = 6.0, 512.0
 
 
-def world_x(lng: Column) -> Column:
-    """Share of the world's width."""
-    return (lng + F.lit(180.0)) / F.lit(360.0)
+def hit_box(lng: float, lat: float, zoom: float) -> tuple[float, float, float, float]:
+    """West, south, east and north of the hit box around a point at a zoom, in degrees."""
+    reach = HIT_PIXELS / (WORLD_PIXELS * 2.0**zoom)
+    r = math.radians(lat)
+    x, y = (lng + 180) / 360, (1 - math.log(math.tan(r) + 1 / math.cos(r)) / math.pi) / 2
 
+    def latitude(share: float) -> float:
+        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * share))))
 
-def world_y(lat: Column) -> Column:
-    """Share of the world's height."""
-    r = F.radians(lat)
-    return (F.lit(1.0) - F.log(F.tan(r) + F.lit(1.0) / F.cos(r)) / F.lit(math.pi)) / F.lit(2.0)
+    return (x - reach) * 360 - 180, latitude(y + reach), (x + reach) * 360 - 180, latitude(y - reach)
 
 
 def box_hits(features: DataFrame, lng: float, lat: float, zoom: float) -> DataFrame:
-    """Features within the hit box around a point at a zoom."""
-    reach = HIT_PIXELS / (WORLD_PIXELS * 2.0**zoom)
-    r = math.radians(lat)
-    cx, cy = (lng + 180) / 360, (1 - math.log(math.tan(r) + 1 / math.cos(r)) / math.pi) / 2
-    near_x, near_y = world_x(F.col("lng")), world_y(F.col("lat"))
-    return features.where(near_x.between(cx - reach, cx + reach) & near_y.between(cy - reach, cy + reach))
+    """Features within the hit box around a point at a zoom: plain bounds of degrees, which scans can use."""
+    west, south, east, north = hit_box(lng, lat, zoom)
+    return features.where(F.col("lng").between(west, east) & F.col("lat").between(south, north))
 
 
 def hit_key() -> Column:

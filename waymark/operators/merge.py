@@ -9,7 +9,11 @@ from waymark.operators.hits import first_by
 
 
 def merge_descriptions(catalogue: DataFrame, found: DataFrame, overwrite: bool = False) -> DataFrame:
-    """``catalogue`` with found texts filled in; present ones change only with ``overwrite``; unknown codes are ignored."""
+    """``catalogue`` with found texts filled in; present ones change only with ``overwrite``; unknown codes are ignored.
+
+    Of texts found twice for a code the first counts: by ``ord`` where ``found`` has it, else the least text.
+    """
+    found = first_by(found, F.col("code"), *(["ord"] if "ord" in found.columns else ["en", "zh"]))
     j = catalogue.join(found.select("code", F.col("en").alias("_en"), F.col("zh").alias("_zh")), "code", "left")
     for c in ("en", "zh"):
         j = j.withColumn(c, F.coalesce(f"_{c}", c) if overwrite else F.coalesce(c, f"_{c}"))

@@ -26,8 +26,10 @@ def polyline_segments(lines: DataFrame, key: str = "line_id", positions: str = "
 def nearest_segments(points: DataFrame, segments: DataFrame, key: str = "fid") -> DataFrame:
     """For each point its nearest segment closer than RADIUS: key, seg_id, d, qx, qy, dx, dy, px, py.
 
-    Short segments go first.  A segment is listed in every cell that its box,
-    widened by the radius, touches; a point probes only its own cell, so a pair
+    Short segments go first, and points without key or place.  A segment is listed
+    in the cells that it can reach: for every column of cells those beside the
+    part of the segment that crosses the column widened by the radius, so a long
+    one is listed along its length.  A point probes only its own cell, so a pair
     meets once.  Ties go to the least seg_id.  Exact within the radius.
     """
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
@@ -35,7 +37,15 @@ def nearest_segments(points: DataFrame, segments: DataFrame, key: str = "fid") -
     listed = long_enough.select(
         "*",
         F.explode(F.sequence(cell(F.least(ax, bx) - RADIUS, RADIUS), cell(F.greatest(ax, bx) + RADIUS, RADIUS))).alias("gx"),
-    ).select("*", F.explode(F.sequence(cell(F.least(ay, by) - RADIUS, RADIUS), cell(F.greatest(ay, by) + RADIUS, RADIUS))).alias("gy"))
+    )
+    # heights of the segment where it enters and leaves the widened column; an upright one has both ends there
+    west, east = (F.col("gx") - 1) * F.lit(RADIUS), (F.col("gx") + 2) * F.lit(RADIUS)
+    clipped = [F.when(bx != ax, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - ax) / (bx - ax)))).otherwise(F.lit(float(k))) for k, edge in enumerate((west, east))]
+    ends = [ay + t * (by - ay) for t in clipped]
+    listed = listed.withColumns({"_y0": ends[0], "_y1": ends[1]})
+    rows = F.sequence(cell(F.least("_y0", "_y1") - RADIUS, RADIUS), cell(F.greatest("_y0", "_y1") + RADIUS, RADIUS))
+    listed = listed.select("*", F.explode(rows).alias("gy")).drop("_y0", "_y1")
+    points = points.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
     probe = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x"), RADIUS).alias("gx"), cell(F.col("y"), RADIUS).alias("gy"))
     qx, qy, d = projected(F.col("px"), F.col("py"), ax, ay, bx, by)
     near = probe.join(listed, ["gx", "gy"]).select(key, "seg_id", d.alias("d"), qx.alias("qx"), qy.alias("qy"), (bx - ax).alias("dx"), (by - ay).alias("dy"), "px", "py")

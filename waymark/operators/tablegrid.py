@@ -11,6 +11,8 @@ from waymark.functions.text import code_number
 # share of a column that rules must cover, width bounds of a number column.
 COLUMN_GAP, ROW_GAP, LEAST_COVER = 4.0, 2.0, 0.6
 NUMBER_WIDTH, DEFAULT_PITCH = (12.0, 32.0), 109.0
+# Fixed value: pixels that a picture out of a cell has at least, each way.
+LEAST_PICTURE = 24
 
 
 def running_clusters(values: Column, gap: float = COLUMN_GAP) -> Column:
@@ -88,3 +90,8 @@ def gated_codes(tokens: DataFrame, sheets: DataFrame) -> DataFrame:
     got = got.select("page", "col", "row", "grp", F.concat("prefix", "_f.t").alias("code"), F.col("_f.n").alias("n"))
     before = F.lag("n").over(Window.partitionBy("page", "col").orderBy("row"))
     return got.withColumn("falls", F.coalesce(F.col("n") < before, F.lit(False)))
+
+
+def large_enough(pictures: DataFrame) -> DataFrame:
+    """Pictures out of cells, without those too small to be one: w and h of LEAST_PICTURE or more."""
+    return pictures.where((F.col("w") >= LEAST_PICTURE) & (F.col("h") >= LEAST_PICTURE))

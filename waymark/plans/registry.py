@@ -78,6 +78,11 @@ def _bearings(spark: SparkSession, d: str) -> DataFrame:
     return nearest.face_bearings(nearest.nearest_segments(adapter.features(spark, d), adapter.segments(spark, d)))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once for all branches of a plan that read it."""
+    return Stage(df.sparkSession, "plan").put(df, name)
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
     return asm.catalogued_members(adapter.features(spark, d), adapter.catalogue(spark, d))
 
@@ -87,7 +92,8 @@ def _stacks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.enriched(adapter.features(spark, d), _bearings(spark, d), _stacks(spark, d))
+    bearings = _written(_bearings(spark, d), "bearings")
+    return enrich.enriched(adapter.features(spark, d), bearings, asm.stack_assemblies(_members(spark, d), bearings))
 
 
 @query(f"WITH {_F}, {_C}, {_K} SELECT category_key, count(*) n FROM k GROUP BY 1")
@@ -114,7 +120,7 @@ def id_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT fid, gg, sign_id FROM f WHERE (sign_id IN ('TS1', 'TS5', 'TS42') OR gg IN (SELECT gg FROM g)) AND sign_id <> 'TS7'""")
 def id_filter_expanded(spark: SparkSession, d: str) -> DataFrame:
     state = vis.FilterState(mode="sign-id", ids=_IDS, hidden=frozenset({"TS7"}))
-    companions = asm.sign_groups(asm.stack_assemblies(_members(spark, d)))
+    companions = asm.companion_index(_members(spark, d), sorted(_IDS))
     return vis.visible(adapter.features(spark, d), state, companions).select("fid", "gg", "sign_id")
 
 
@@ -163,7 +169,7 @@ def assembly_skipped_span(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_F}, {_C}, {_M} SELECT DISTINCT m.sign_id, m.gg FROM m JOIN p USING (gg) WHERE stack_size >= 2 AND span <= 15")
 def sign_groups(spark: SparkSession, d: str) -> DataFrame:
-    return asm.sign_groups(asm.stack_assemblies(_members(spark, d)))
+    return asm.companion_index(_members(spark, d))
 
 
 @query(f"WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST}, {_E} SELECT fid, category, round(x, 6) x, round(y, 6) y, face_bearing, stack_index, stack_off, stack_tier FROM e")
@@ -195,7 +201,8 @@ SELECT z, tx, ty, fid, minzoom IS NOT NULL pinned FROM t WHERE minzoom IS NOT NU
 UNION ALL SELECT z, tx, ty, fid, false FROM (SELECT * FROM t WHERE minzoom IS NULL QUALIFY row_number() OVER (PARTITION BY z, tx, ty ORDER BY prio, fid) <= 20)""")
 def tile_overview_thinned(spark: SparkSession, d: str) -> DataFrame:
     copies = geo.to_wgs84(enrich.lod_copies(_enriched(spark, d)))
-    kept = tiles.thinned(tiles.tiled(copies, range(9, 14)), F.col("prio"))
+    placed = tiles.tiled(copies, range(9, 14)).select("z", "tx", "ty", "fid", "prio", "minzoom")
+    kept = tiles.thinned(_written(placed, "placed"), F.col("prio"))
     return kept.select(F.col("z").cast("long").alias("z"), "tx", "ty", "fid", F.col("minzoom").isNotNull().alias("pinned"))
 
 
@@ -296,12 +303,20 @@ def category_colours(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(spark, d).groupBy("category_key", style.colour(F.col("category_key")).alias("colour")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_F}, w AS ({_wgs84('f')}), b AS (SELECT *, (lng + 180) / 360 wx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 wy FROM w),
-h AS (SELECT * FROM b WHERE abs(wx - (114.1 + 180) / 360) <= 6 / (512 * pow(2, 11)) AND abs(wy - (1 - ln(tan(radians(22.35e0)) + 1 / cos(radians(22.35e0))) / pi()) / 2) <= 6 / (512 * pow(2, 11)))
-SELECT sign_id, category, min(fid) fid FROM h GROUP BY printf('%.6f,%.6f', lng, lat), sign_id, category""")
+_MY = "(1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2"
+
+
+@query(f"""WITH {_F}, w AS ({_wgs84('f')}), c AS (SELECT *, 'a' AS copy FROM w UNION ALL SELECT *, 'b' FROM w WHERE category <> 'pole'),
+h AS (SELECT * FROM c WHERE abs((lng + 180) / 360 - (114.1 + 180) / 360) <= 6 / (512 * pow(2, 8)) AND abs({_MY.format('lat')} - {_MY.format('22.35e0')}) <= 6 / (512 * pow(2, 8)))
+SELECT sign_id, category, min(concat(fid, copy)) fid, count(*) copies FROM h GROUP BY printf('%.6f,%.6f', lng, lat), sign_id, category""")
 def hit_box_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    f = geo.to_wgs84(adapter.features(spark, d)).withColumn("pole_id", F.lit(None).cast("string")).withColumn("refname", F.lit(None).cast("string"))
-    return hits.first_by(hits.box_hits(f, 114.1, 22.35, 11), hits.hit_key(), "fid").select("sign_id", "category", "fid")
+    """A click on features that two rendered layers hold: each once, the first copy."""
+    f = adapter.features(spark, d).withColumn("pole_id", F.lit(None).cast("string")).withColumn("refname", F.lit(None).cast("string"))
+    w = _written(geo.to_wgs84(f), "placed")
+    both = w.withColumn("copy", F.lit("a")).unionByName(w.where("category <> 'pole'").withColumn("copy", F.lit("b")))
+    found = hits.box_hits(both, 114.1, 22.35, 8).withColumn("fid", F.concat("fid", "copy")).withColumn("k", hits.hit_key())
+    n = found.groupBy("k").agg(F.count("*").alias("copies"))
+    return hits.first_by(found, F.col("k"), "fid").join(n, "k").select("sign_id", "category", "fid", "copies")
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -379,10 +394,15 @@ def monotonic_check(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy(F.col("l_suppkey").alias("page")).agg(F.count("*").alias("n"), F.count_if(F.expr("l_linenumber < prev")).alias("falls"))
 
 
-@query("WITH v AS (SELECT DISTINCT l_suppkey page, l_quantity * 20 x FROM lineitem WHERE l_linenumber = 1), n AS (SELECT page, x AS \"left\", lead(x) OVER (PARTITION BY page ORDER BY x) AS \"right\" FROM v) SELECT * FROM n WHERE \"right\" - \"left\" BETWEEN 12 AND 32")
+@query("""WITH RECURSIVE v AS (SELECT page, x, row_number() OVER (PARTITION BY page ORDER BY x) i FROM (SELECT DISTINCT l_suppkey page, l_quantity * 20 + l_linenumber % 4 * 1.5e0 x FROM lineitem)),
+r(page, i, k, rep) AS (SELECT page, i, 1, x FROM v WHERE i = 1 UNION ALL
+  SELECT v.page, v.i, CASE WHEN abs(v.x - r.rep) < 4 THEN r.k ELSE r.k + 1 END, CASE WHEN abs(v.x - r.rep) < 4 THEN (r.rep + v.x) / 2 ELSE v.x END FROM r JOIN v ON v.page = r.page AND v.i = r.i + 1),
+c AS (SELECT page, k, arg_max(rep, i) AS "left" FROM r GROUP BY page, k), n AS (SELECT page, "left", lead("left") OVER (PARTITION BY page ORDER BY k) AS "right" FROM c)
+SELECT page, round("left", 6) AS "left", round("right", 6) AS "right" FROM n WHERE "right" - "left" BETWEEN 12 AND 32""")
 def number_columns(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1").selectExpr("l_suppkey page", "l_quantity * 20 x").distinct()
-    return tablegrid.number_columns(v)
+    """Lines up to 4.5 apart: neighbours closer than 4 to the running representative merge into it."""
+    v = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey page", "l_quantity * 20 + l_linenumber % 4 * 1.5e0 x").distinct()
+    return tablegrid.number_columns(v).select("page", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 
 @query(f"""WITH {_C}, {_O}, filled AS (SELECT c.code, ord, tier, grp, w, h, coalesce(c.en, o.en) en, coalesce(c.zh, o.zh) zh FROM c LEFT JOIN o ON o.code = c.code),
@@ -397,9 +417,11 @@ def catalogue_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.promote(c, staged, rejects).select("code", "tier", "grp", "en", "zh")
 
 
-@query()
+@query(f"""WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST}, {_E}, t AS (SELECT concat(fid, '|', category, '|', CAST(round(x * 1000) AS BIGINT), '|', CAST(round(y * 1000) AS BIGINT), '|', coalesce(CAST(stack_index AS VARCHAR), '')) r FROM e)
+SELECT substr(sha256(concat(coalesce(sum(CAST(concat('0x', substr(md5(r), 1, 15)) AS HUGEINT)), 0), '|', count(*))), 1, 12) AS version FROM t""")
 def dataset_version(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.content_version(_enriched(spark, d).select("fid", "category", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "stack_index"))
+    milli = [F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("x", "y")]
+    return tiles.content_version(_enriched(spark, d).select("fid", "category", *milli, "stack_index"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) fid, CASE WHEN s_suppkey % 4 > 0 THEN concat('G', s_nationkey) END gg, concat('TS', s_suppkey) sign_id, 801000e0 + s_suppkey x, 802000e0 + s_nationkey y FROM supplier")
@@ -460,3 +482,6 @@ def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts as a stream; windows that the watermark has not passed are withheld."""
     folder = Stage(spark, "windows").folder
     return streams.run_to_table(streams.tumbling_counts(streams.event_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
+
+
+from waymark.plans import edges  # noqa: E402, F401  registers the queries of special cases

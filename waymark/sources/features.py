@@ -54,6 +54,17 @@ def read_members(spark: SparkSession, path: str, row_tag: str = "core:cityObject
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(schema).load(path)
 
 
+def parsed(members: DataFrame) -> DataFrame:
+    """Members that could be parsed; ``rejected`` counts the others."""
+    return members.where("_corrupt_record is null")
+
+
+def rejected(members: DataFrame) -> DataFrame:
+    """One row: n_members, and n_rejected of them that could not be parsed or have neither place nor line."""
+    bad = F.col("_corrupt_record").isNotNull() | (F.col("gml:Point").isNull() & F.col("gml:LineString").isNull())
+    return members.agg(F.count("*").alias("n_members"), F.count_if(bad).alias("n_rejected"))
+
+
 def attribute(name: str, kind: str = "string") -> Column:
     """The first value of a member's generic attribute of this kind and name."""
     own = F.filter(f"`gen:{kind}Attribute`", lambda a: a["_name"] == name)

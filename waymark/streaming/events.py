@@ -26,6 +26,11 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp"))
 
 
+def usage_events(events: DataFrame) -> DataFrame:
+    """Events of a known kind with a place in time; others are dropped.  Batch or stream."""
+    return events.where(F.col("event_type").isin(EVENT_KINDS) & F.col("at").isNotNull())
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their value per kind and window; batch or stream."""
     timed = events.withWatermark("at", late) if events.isStreaming else events
@@ -60,10 +65,11 @@ def click_cycle_stream(events: DataFrame, cycle: int = 3) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, index = state.get if state.exists else (None, -1)
         out = []
-        for row in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples():
-            index = (index + 1) % cycle if row.event_type == last else 0
-            last = row.event_type
-            out.append((row.event_id, key[0], index))
+        rows = [r for frame in frames for r in frame[["at", "event_id", "event_type"]].itertuples(index=False, name=None)]
+        for _, event_id, event_type in sorted(rows, key=lambda r: r[:2]):  # one user's clicks of one batch
+            index = (index + 1) % cycle if event_type == last else 0
+            last = event_type
+            out.append((event_id, key[0], index))
         state.update((last, index))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "cycle_index"])
 
