@@ -233,3 +233,12 @@ def test_click_cycle(spark):
     clicks = spark.createDataFrame([(1, "u", "a", 2), (2, "u", "a", 2), (3, "u", "a", 2), (4, "u", "b", 3), (5, "u", None, 0), (6, "u", "b", 3)], "t int, user string, key string, hits int")
     got = hits.click_cycle(clicks, "user", ["t"], "key", "hits").orderBy("t").collect()
     assert [r["cycle_index"] for r in got] == [0, 1, 0, 0, None, 0]
+
+
+def test_rules_of_a_drawing(spark):
+    text = """<fill_path transform="1 0 0 -1 10 100"><moveto x="0" y="0"/><lineto x="8" y="0.1"/><lineto x="8" y="20"/><closepath/></fill_path>
+<stroke_path><moveto x="1" y="1"/><lineto x="3" y="1"/><moveto x="9" y="9"/><lineto x="2" y="9"/></stroke_path><fill_text transform="1 0 0 1 0 0"/>"""
+    pages = spark.createDataFrame([(1, text), (2, None), (3, "<page/>")], "page int, value string")
+    rows = sorted(tuple(r) for r in src.drawn_rules(pages).collect())
+    assert [(p, k) for p, k, *_ in rows] == [(1, "h"), (1, "h"), (1, "v")]
+    assert [v for r in rows for v in r[2:]] == pytest.approx([9, 2, 9, 99.95, 10, 18, 18, 80, 99.9])

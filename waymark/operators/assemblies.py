@@ -77,3 +77,10 @@ def companion_index(members: DataFrame, wanted: list[str] | None = None) -> Data
         members = members.join(members.where(F.col("sign_id").isin(wanted)).select("gg").distinct(), "gg", "left_semi")
     posts = assembly_spans(members).where((F.col("stack_size") >= 2) & (F.col("span") <= SPAN_CAP)).select("gg")
     return members.select("sign_id", "gg").distinct().join(posts, "gg", "left_semi").select("sign_id", "gg")
+
+
+def stack_counters(stacks: DataFrame) -> DataFrame:
+    """One row: members, assemblies, distinct anchors, the largest assembly and the furthest offset; zeros without stacks."""
+    first = F.count_if(F.col("stack_index") == 0)
+    furthest = {name: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(name) for name, c in (("largest", "stack_size"), ("furthest", "stack_off"))}
+    return stacks.agg(F.count("*").alias("members"), first.alias("assemblies"), F.count_distinct("anchor_x", "anchor_y").alias("anchors"), *furthest.values())

@@ -37,6 +37,11 @@ def new_codes(catalogue: DataFrame, found: DataFrame) -> DataFrame:
     return first_by(found.join(catalogue.select("code"), "code", "left_anti"), F.col("code"), "ord")
 
 
+def write_staged(staged: DataFrame, path: str) -> None:
+    """Write candidates for review as JSON lines, a folder for each ``sheet``; ``promote`` takes them when they are read again."""
+    staged.write.partitionBy("sheet").json(path)
+
+
 def sheets_named(sheets: DataFrame, part: str) -> DataFrame:
     """Sheets whose file holds ``part``; none is an error."""
     own = sheets.where(F.col("pdf").contains(part))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, style
 from waymark.operators import assemblies as asm
 from waymark.operators import catalogue as cat
-from waymark.operators import enrich, nearest, tablegrid, tiles
+from waymark.operators import enrich, merge, nearest, tablegrid, tiles
 from waymark.operators import visibility as vis
 from waymark.plans import adapter
 from waymark.plans.registry import _C, _E, _F, _M, _N, _S, _ST, _enriched, _written, query
@@ -216,3 +216,31 @@ def rejected_members(spark: SparkSession, d: str) -> DataFrame:
     root = F.concat(F.lit('<core:CityModel xmlns:core="core" xmlns:gen="gen" xmlns:gml="gml">'), F.array_join(F.collect_list("m"), "\n"), F.lit("</core:CityModel>"))
     spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % 4).alias("part"), text.alias("m")).groupBy("part").agg(root.alias("value")).write.partitionBy("part").text(path)
     return src.rejected(src.read_members(spark, path))
+
+
+@query(f"""WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST} SELECT count(*) members, count(DISTINCT gg) assemblies, count(DISTINCT (anchor_x, anchor_y)) anchors,
+coalesce(max(stack_size), 0) largest, CAST(coalesce(max(stack_off), 0) AS BIGINT) furthest FROM st""")
+def stack_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of the assembly build reports."""
+    return asm.stack_counters(asm.stack_assemblies(asm.catalogued_members(adapter.features(spark, d), adapter.catalogue(spark, d))))
+
+
+@query("""WITH p AS (SELECT p_size page, p_partkey k, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 2 END s, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey END tx, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 5 END ty FROM part),
+r AS (SELECT page, s * (k % 50) + tx x0, s * (k % 40) + ty y0, s * (k % 50 + k % 7) + tx x1, s * (k % 40 + k % 3 * 4) + ty y1 FROM p UNION ALL SELECT page, tx, ty, tx, 3 * s + ty FROM p)
+SELECT page, 'h' AS kind, CAST(y0 AS DOUBLE) AS at, CAST(x0 AS DOUBLE) AS lo, CAST(x1 AS DOUBLE) AS hi FROM r WHERE y0 = y1 AND x1 - x0 > 3
+UNION ALL SELECT page, 'v', x0, y0, y1 FROM r WHERE x0 = x1 AND y1 - y0 > 5""")
+def drawn_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules out of a page's drawing trace, with and without a transform; a move of the pen draws nothing."""
+    path = F.expr("""concat('<stroke_path linewidth="1"', case when p_partkey % 4 > 0 then concat(' transform="2 0 0 2 ', p_partkey, ' 5"') else '' end,
+      '><moveto x="', p_partkey % 50, '" y="', p_partkey % 40, '"/><lineto x="', p_partkey % 50 + p_partkey % 7, '" y="', p_partkey % 40 + p_partkey % 3 * 4, '"/><moveto x="0" y="0"/><lineto x="0" y="3"/></stroke_path>')""")
+    pages = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").alias("page"), path.alias("p"))
+    return src.drawn_rules(pages.groupBy("page").agg(F.array_join(F.collect_list("p"), "\n").alias("value")))
+
+
+@query(f"WITH {_C} SELECT grp AS sheet, count(*) n, min(code) AS first, sum(w) w FROM c WHERE ord % 5 = 0 GROUP BY 1")
+def staging_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates staged for review by sheet, written and read again."""
+    path = f"{Stage(spark, 'staging').folder}/manifest"
+    merge.write_staged(adapter.catalogue(spark, d).where("ord % 5 = 0").withColumn("sheet", F.col("grp")), path)
+    staged = spark.read.schema("code string, ord long, tier long, grp string, w long, h long, en string, zh string, sheet string").json(path)
+    return staged.groupBy("sheet").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.sum("w").alias("w"))

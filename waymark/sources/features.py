@@ -115,6 +115,35 @@ def geojson_lines(features: DataFrame, properties: list[str]) -> DataFrame:
     return features.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
+# How straight a rule of a drawing is, and the lengths that horizontal and vertical ones exceed, in points.
+STRAIGHT, LEAST_ACROSS, LEAST_DOWN = 0.3, 3.0, 5.0
+
+
+def drawn_rules(pages: DataFrame) -> DataFrame:
+    """page, kind (h or v), at, lo and hi of the axis-aligned rules that ``pages(page, value)`` draw, a page's trace XML per row.
+
+    A path's affine transform applies to its points; a stretch starts at the pen's last place.  Pages without text draw none.
+    """
+    path = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<(stroke_path|fill_path)\b[^>]*>.*?</\1>"), F.lit(0)))
+    m = numbers(F.regexp_extract("p", r'^[^>]*transform="([^"]+)"', 1))
+    step = r'<(moveto|lineto) x="([-0-9.]+)" y="([-0-9.]+)"'
+
+    def placed(t: Column) -> Column:
+        x, y = (F.regexp_extract(t, step, i).cast("double") for i in (2, 3))
+        known = F.size("m") == 6
+        at = [F.when(known, F.col("m")[i] * x + F.col("m")[i + 2] * y + F.col("m")[i + 4]).otherwise(v) for i, v in ((0, x), (1, y))]
+        return F.struct(F.regexp_extract(t, step, 1).alias("op"), at[0].alias("x"), at[1].alias("y"))
+
+    points = pages.select("page", path.alias("p")).select("page", "p", m.alias("m")).select("page", F.transform(F.regexp_extract_all("p", F.lit(step), F.lit(0)), placed).alias("a"))
+    pairs = points.where("size(a) > 1").select("page", F.inline(F.expr("zip_with(slice(a, 1, size(a) - 1), slice(a, 2, size(a) - 1), (q, r) -> struct(q, r))")))
+    dx, dy = (F.abs(F.col(f"r.{c}") - F.col(f"q.{c}")) for c in "xy")
+    kind = F.when((dy < STRAIGHT) & (dx > LEAST_ACROSS), "h").when((dx < STRAIGHT) & (dy > LEAST_DOWN), "v")
+    rules = pairs.where("r.op = 'lineto'").withColumn("kind", kind).where("kind is not null")
+    along = [F.when(F.col("kind") == "h", F.col(f"{p}.x")).otherwise(F.col(f"{p}.y")) for p in "qr"]
+    across = [F.when(F.col("kind") == "h", F.col(f"{p}.y")).otherwise(F.col(f"{p}.x")) for p in "qr"]
+    return rules.select("page", "kind", ((across[0] + across[1]) / 2).alias("at"), F.least(*along).alias("lo"), F.greatest(*along).alias("hi"))
+
+
 def read_json_map(spark: SparkSession, path: str, value: str, required: bool = False) -> DataFrame:
     """(key, value) of a JSON object file; a missing file gives no rows unless it is required."""
     try:
