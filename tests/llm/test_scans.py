@@ -99,6 +99,39 @@ def test_op10_additions_are_right(spark):
     assert found == 0 or wrong <= 0.1 * found, (found, wrong)
 
 
+def test_op10_finds_what_the_base_patterns_just_miss(spark):
+    """Phone numbers without their plus and card numbers with a wrong digit, in texts like those of right ones, are found; order numbers are not."""
+    r = np.random.default_rng(12)
+
+    def grouped(digits):
+        sep, n = r.choice([" ", "-", ""]), int(r.integers(3, 6))
+        return sep.join(digits[i : i + n] for i in range(0, len(digits), n))
+
+    def card(right):
+        head = "4" + _drawn(r, "0123456789", int(r.integers(13, 18)))
+        last = next(d for d in "0123456789" if pii.luhn(head + d))
+        return f"{r.choice(['card', 'visa card', 'my card is', 'account:'])} {grouped(head + (last if right else str((int(last) + 3) % 10)))}{r.choice(['', ','])} now"
+
+    def phone(right):
+        n = str(r.integers(2, 99)) + " " + grouped(_drawn(r, "123456789", int(r.integers(9, 12))))
+        return f"{r.choice(['call', 'phone', 'tel', 'mobile:'])} {'+' if right else ''}{n}{r.choice(['', ','])} today"
+
+    def order():
+        n = _drawn(r, "123456789", 16)
+        return [f"order {n[: r.integers(7, 13)]} of {_drawn(r, 'etaoinshrdlu', 6)}", f"on 2024-{r.integers(10, 13)}-{r.integers(10, 29)} we sold {n[:8]} units", f"parcel {grouped(n[: r.integers(7, 13)])} sent"][r.integers(3)]
+
+    texts = [card(True) for _ in range(800)] + [phone(True) for _ in range(800)] + [order() for _ in range(800)]
+    near = [card(False) for _ in range(16)] + [phone(False) for _ in range(16)]
+    far = [order() for _ in range(200)]
+    docs = list(enumerate(texts + near + far))
+    rows = {x["doc_id"]: x for x in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    found = [i for i in range(len(texts), len(texts) + len(near)) if "likely" in rows[i]["spans"]]
+    wrong = [i for i in range(len(texts) + len(near), len(docs)) if "likely" in rows[i]["spans"]]
+    assert len(found) >= 0.9 * len(near), (len(found), len(wrong))
+    assert len(wrong) <= 0.01 * len(far), [docs[i] for i in wrong]
+    assert all(rows[i]["n_card"] + rows[i]["n_phone"] == 0 for i in found)
+
+
 def test_op10_thresholds_by_shape():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 3))
