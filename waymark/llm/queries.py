@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.llm.decontaminate import contaminated_documents
+from waymark.llm.hardneg import hard_negatives
 from waymark.llm.interpolation import interpolated_scores
 from waymark.llm.itq import near_vectors
 from waymark.llm.language import identify_languages
@@ -63,6 +65,11 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return hard_negatives(v.withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")), every=50, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_length_histogram": op2_length_histogram,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grammar_inference": op8_grammar_inference,
     "op9_iterative_quantisation": op9_iterative_quantisation,
     "op10_candidate_boosting": op10_candidate_boosting,
+    "op11_dual_tree_negatives": op11_dual_tree_negatives,
 }
 
 # Brute force: every window of every document against every item window.
@@ -114,8 +122,20 @@ SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(m, vec_id)) compon
 FROM embeddings LEFT JOIN (SELECT a vec_id, count(*) n FROM links GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a vec_id, min(b) m FROM reach GROUP BY a) USING (vec_id)
 """
 
+# Brute force: every anchor against every row.
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id anchor_id, b.vec_id id, a.label = b.label same, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) score FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) r, s.id negative_id, p.score positive_score, s.score negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) positive_score, CAST(negative_score AS BIGINT) negative_score FROM n WHERE r <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op3_prefix_decontamination": _OP3,
     "op4_minhash_near_dedup": _OP4,
     "op9_iterative_quantisation": _OP9,
+    "op11_dual_tree_negatives": _OP11,
 }
