@@ -15,6 +15,7 @@ from waymark.llm.itq import near_vectors
 from waymark.llm.language import identify_languages
 from waymark.llm.lengths import length_histogram, limit_report
 from waymark.llm.licenses import scan_licenses
+from waymark.llm.merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.packing import pack_documents
 from waymark.llm.pii import find_personal_data
@@ -70,6 +71,17 @@ def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(v.withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")), every=50, positives=5, negatives=3, low=50, high=95)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof checked against its own leaf, or against that of a text that lost its line ends."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    bare = leaf_digest(*(F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields))
+    hurt = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), bare)
+    rows = merkle_manifest(docs, "doc_id", "source", leaf_digest(*(F.col(c) for c in fields)), {"tampered": hurt})
+    folded = rows.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_length_histogram": op2_length_histogram,
@@ -82,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_iterative_quantisation": op9_iterative_quantisation,
     "op10_candidate_boosting": op10_candidate_boosting,
     "op11_dual_tree_negatives": op11_dual_tree_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 # Brute force: every window of every document against every item window.
@@ -133,9 +146,33 @@ n AS (SELECT p.anchor_id, p.id positive_id, row_number() OVER (PARTITION BY p.an
 SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) positive_score, CAST(negative_score AS BIGINT) negative_score FROM n WHERE r <= 3
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# Both levels of trees by recursion, siblings by a join on the run, crc32 bit by bit.
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(concat('s', source), '') src, sha256(concat({_LEAF}, {_FIELD.format("text")})) leaf, sha256(concat({_LEAF}, {_FIELD.format("replace(text, chr(10), '')")})) hurt,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 i, count(*) OVER (PARTITION BY source) n,
+  xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) crc FROM documents),
+a(src, level, i, h, n) AS (SELECT src, 0, i, leaf, n FROM d
+  UNION ALL SELECT src, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM a WHERE n > 1 GROUP BY src, level, i // 3),
+sub AS (SELECT src, h, row_number() OVER (ORDER BY src) - 1 r, count(*) OVER () m FROM a WHERE n = 1),
+t(level, i, h, n) AS (SELECT 0, r, h, m FROM sub UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY level, i // 3),
+path AS (SELECT d.doc_id, d.src, level, d.i // CAST(pow(3, level) AS BIGINT) i FROM d JOIN (SELECT DISTINCT src, level FROM a WHERE n > 1) USING (src)),
+steps AS (SELECT doc_id, level, string_agg(CASE WHEN a.i < p.i THEN h END, '' ORDER BY a.i) b, string_agg(CASE WHEN a.i > p.i THEN h END, '' ORDER BY a.i) e FROM path p JOIN a USING (src, level) WHERE a.i // 3 = p.i // 3 GROUP BY 1, 2
+  UNION ALL SELECT doc_id, 100 + level, string_agg(CASE WHEN t.i < p.i THEN h END, '' ORDER BY t.i), string_agg(CASE WHEN t.i > p.i THEN h END, '' ORDER BY t.i)
+  FROM (SELECT doc_id, level, r // CAST(pow(3, level) AS BIGINT) i FROM d JOIN sub USING (src), (SELECT DISTINCT level FROM t WHERE n > 1)) p JOIN t USING (level) WHERE t.i // 3 = p.i // 3 GROUP BY 1, 2),
+proof AS (SELECT doc_id, list(concat(b, '|', e) ORDER BY level) s, string_agg(concat(b, e), '' ORDER BY level) p FROM steps GROUP BY 1),
+f AS (SELECT d.doc_id, leaf, sub.h subroot, (SELECT h FROM t WHERE n = 1) root, sha256(coalesce(p, '')) proof_sha256,
+  list_reduce(list_concat([CASE WHEN crc % 2 = 0 THEN hurt ELSE leaf END], coalesce(s, [])), lambda x, y: sha256(concat(split_part(y, '|', 1), x, split_part(y, '|', 2)))) folded_root
+  FROM d JOIN sub USING (src) LEFT JOIN proof USING (doc_id))
+SELECT *, folded_root = root verified FROM f
+"""
+
 ORACLES: dict[str, str] = {
     "op3_prefix_decontamination": _OP3,
     "op4_minhash_near_dedup": _OP4,
     "op9_iterative_quantisation": _OP9,
     "op11_dual_tree_negatives": _OP11,
+    "op12_merkle_manifest": _OP12,
 }
