@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.chat import format_conversations, read_back
 from waymark.llm.decontaminate import contaminated_documents
 from waymark.llm.hardneg import hard_negatives
 from waymark.llm.interpolation import interpolated_scores
@@ -82,6 +83,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds the template's own marks, read back from ids and masks."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return read_back(format_conversations(given.unionByName(own), path), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_length_histogram": op2_length_histogram,
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_candidate_boosting": op10_candidate_boosting,
     "op11_dual_tree_negatives": op11_dual_tree_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_offset_masks": op13_offset_masks,
 }
 
 # Brute force: every window of every document against every item window.
@@ -169,10 +180,22 @@ f AS (SELECT d.doc_id, leaf, sub.h subroot, (SELECT h FROM t WHERE n = 1) root,
 SELECT *, folded_root = root verified FROM f
 """
 
+_ESCAPED = r"replace({0}, '\', '\\')"
+for _mark in ("<turn>", "<text>", "</turn>", "<|endoftext|>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
+_OP13 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT conv_id, count(*) n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) loss_sha256,
+  CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 20) AS BIGINT) formatted_chars FROM c GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_prefix_decontamination": _OP3,
     "op4_minhash_near_dedup": _OP4,
     "op9_iterative_quantisation": _OP9,
     "op11_dual_tree_negatives": _OP11,
     "op12_merkle_manifest": _OP12,
+    "op13_offset_masks": _OP13,
 }
