@@ -284,8 +284,9 @@ class _Part:
         i, j = leaf_pairs(tree, self.tree, np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts), same)
         order = np.lexsort((i, j))
         i, j = i[order], j[order]
-        for leaf, start, stop in zip(*np.unique(j, return_index=True), [*np.unique(j, return_index=True)[1][1:], len(j)], strict=True):
-            rows = (i[start:stop, None] * FINE + np.arange(FINE)).ravel()
+        met, first = np.unique(j, return_index=True)
+        for leaf, mine in zip(met, np.split(i, first[1:]), strict=False):
+            rows = (mine[:, None] * FINE + np.arange(FINE)).ravel()
             rows = rows[rows < n]
             rows = rows[(labels[rows] == self.label[leaf]) == same]
             rows = rows[least[rows] <= most[rows]]
