@@ -222,13 +222,13 @@ def merkle_manifest(rows: DataFrame, key: str, group: str, leaf: Column, carry:
     homes = heads.groupBy("home").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("home")) - F.col("m"))
     ranked = heads.join(homes, "home").select("head", (F.col("before") + F.row_number().over(Window.partitionBy("home").orderBy("head")) - 1).alias("rank"))
     runs = stage.put(runs.join(ranked, "head").select("part", "rank", "total", "start", "n"), "ranked")
-    n_groups = runs.where("start = 0").count()
+    n_groups, last = runs.agg(F.count_if(F.col("start") == 0), F.coalesce(F.max("part"), F.lit(0))).first()
 
     slim = leaves.select("part", "place", "leaf").groupBy("part").cogroup(runs.groupBy("part"))
     state = stage.put(slim.applyInPandas(_fragment(n_groups), _NODES), "fragments")
     wanted = state.where("kind = 'wanted'").select("part", "tree", "level", "idx")
     open_ = state.where("kind = 'open'")
-    spine, width = open_, shards
+    spine, width = open_, last + 1  # as dealt, whatever was asked for
     while width > 1:
         width = -(-width // FAN)
         merged = stage.put(open_.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInPandas(_merge(n_groups), _NODES), "merged")
