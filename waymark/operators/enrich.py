@@ -19,26 +19,30 @@ def union_layers(layers: list[tuple[DataFrame, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def enriched(features: DataFrame, bearings: DataFrame, stacks: DataFrame) -> DataFrame:
+def enriched(features: DataFrame, bearings: DataFrame | None, stacks: DataFrame) -> DataFrame:
     """Features with face_bearing and, if stacked, the assembly's place, order and bearing.
 
     Only the sign layer takes either.  A stacked feature takes its assembly's
     bearing even if that is null.  Where the right sides have an ``ord`` column, a
-    later row of a fid replaces earlier ones; without it a fid must be unique there.
+    later row of a fid replaces earlier ones; without it one of its rows is taken, the
+    least by its values, so a feature never multiplies.  Without ``bearings`` the
+    result has no face_bearing and nothing is spent on it.
     """
-    bearings, stacks = (last_by(df, "fid", "ord") if "ord" in df.columns else df for df in (bearings, stacks))
     key = F.coalesce(F.col("fid").cast("string"), F.lit(""))
     f = features.withColumn("_k", F.when(F.col("category") == SIGN_LAYER, key))
-    b = bearings.select(F.col("fid").alias("_k"), F.col("face_bearing").alias("_own"))
-    s = stacks.select(F.col("fid").alias("_k"), "stack_index", "stack_off", "stack_tier", "anchor_x", "anchor_y", "stack_bearing")
-    j = f.join(b, "_k", "left").join(s, "_k", "left")
-    stacked = F.col("stack_index").isNotNull()
-    return (
-        j.withColumn("face_bearing", F.when(stacked, F.col("stack_bearing")).otherwise(F.col("_own")))
-        .withColumn("x", F.coalesce("anchor_x", "x"))
-        .withColumn("y", F.coalesce("anchor_y", "y"))
-        .drop("_k", "_own", "anchor_x", "anchor_y", "stack_bearing")
-    )
+    j = f.join(_one_per_fid(stacks, ["stack_index", "stack_off", "stack_tier", "anchor_x", "anchor_y", "stack_bearing"]), "_k", "left")
+    if bearings is not None:
+        own = _one_per_fid(bearings, ["face_bearing"]).withColumnRenamed("face_bearing", "_own")
+        turned = F.when(F.col("stack_index").isNotNull(), F.col("stack_bearing")).otherwise(F.col("_own"))
+        j = j.join(own, "_k", "left").withColumn("face_bearing", turned).drop("_own")
+    return j.withColumn("x", F.coalesce("anchor_x", "x")).withColumn("y", F.coalesce("anchor_y", "y")).drop("_k", "anchor_x", "anchor_y", "stack_bearing")
+
+
+def _one_per_fid(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per fid: the last by ``ord`` where there is one, else the least by its values."""
+    if "ord" in df.columns:
+        return last_by(df, "fid", "ord").select(F.col("fid").alias("_k"), *columns)
+    return df.groupBy(F.col("fid").alias("_k")).agg(F.min(F.struct(*columns)).alias("_v")).select("_k", "_v.*")
 
 
 def lod_copies(features: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def union_layers(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT 'stack', count(*), min(fid) FROM e WHERE NOT {_NONE_STACKED} AND gg <> '7'""")
 def sign_layers(spark: SparkSession, d: str) -> DataFrame:
     """What the layer of lone signs of a tier and that of stacked signs, but for one post, hold."""
-    e = _written(_enriched(spark, d).select("fid", "gg", "sign_id", "stack_index"), "enriched")
+    e = _written(_enriched(spark, d, turned=False).select("fid", "gg", "sign_id", "stack_index"), "enriched")
     codes = adapter.catalogue(spark, d).where("tier = 1").select("code")
     both = vis.lone_layer(e, codes).withColumn("layer", F.lit("lone")).unionByName(vis.stack_layer(e, "7").withColumn("layer", F.lit("stack")))
     return both.groupBy("layer").agg(F.count("*").alias("n"), F.min("fid").alias("first"))
@@ -65,7 +65,7 @@ def sign_layers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST}, {_E}, a AS (SELECT min(gg) gg FROM e WHERE stack_index >= 1) SELECT fid, gg, stack_index FROM e WHERE gg = (SELECT gg FROM a) AND stack_index IS NOT NULL")
 def assembly_of_sign(spark: SparkSession, d: str) -> DataFrame:
     """All members of one assembly in order."""
-    e = _written(_enriched(spark, d).select("fid", "gg", F.col("stack_index").cast("long").alias("stack_index")), "enriched")
+    e = _written(_enriched(spark, d, turned=False).select("fid", "gg", F.col("stack_index").cast("long").alias("stack_index")), "enriched")
     gg = e.where("stack_index >= 1").agg(F.min("gg")).first()[0]
     return vis.assembly_of(e, gg)
 
@@ -118,7 +118,7 @@ def pictures_large_enough(spark: SparkSession, d: str) -> DataFrame:
 FROM e WHERE sign_id IN (SELECT code FROM c) GROUP BY sign_id""")
 def picture_requests(spark: SparkSession, d: str) -> DataFrame:
     """The pictures that the features on the map ask for."""
-    return cat.picture_requests(_enriched(spark, d).select("sign_id", "stack_index"), adapter.catalogue(spark, d))
+    return cat.picture_requests(_enriched(spark, d, turned=False).select("sign_id", "stack_index"), adapter.catalogue(spark, d))
 
 
 @query(f"WITH {_F} SELECT count(*) shown, count_if(sign_id IN ('TS1', 'TS5', 'TS42')) hidden, count(DISTINCT CASE WHEN sign_id IN ('TS1', 'TS5', 'TS42') THEN sign_id END) hidden_signs FROM f")

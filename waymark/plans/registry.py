@@ -91,7 +91,10 @@ def _stacks(spark: SparkSession, d: str) -> DataFrame:
     return asm.stack_assemblies(_members(spark, d), _bearings(spark, d))
 
 
-def _enriched(spark: SparkSession, d: str) -> DataFrame:
+def _enriched(spark: SparkSession, d: str, turned: bool = True) -> DataFrame:
+    """Enriched features; only callers that read ``face_bearing`` pay for the search of lines."""
+    if not turned:
+        return enrich.enriched(adapter.features(spark, d), None, asm.stack_assemblies(_members(spark, d)))
     bearings = _written(_bearings(spark, d), "bearings")
     return enrich.enriched(adapter.features(spark, d), bearings, asm.stack_assemblies(_members(spark, d), bearings))
 
@@ -180,7 +183,7 @@ def enriched_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST}, {_E}, {_L} SELECT fid, category, stack_index, minzoom, maxzoom FROM l")
 def lod_copies(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.lod_copies(_enriched(spark, d)).select("fid", "category", F.col("stack_index").cast("long").alias("stack_index"), "minzoom", "maxzoom")
+    return enrich.lod_copies(_enriched(spark, d, turned=False)).select("fid", "category", F.col("stack_index").cast("long").alias("stack_index"), "minzoom", "maxzoom")
 
 
 @query(f"WITH {_F}, w AS ({_wgs84('f')}), t AS (SELECT *, 13 z FROM w) SELECT {_TX} tx, {_TY} ty, count(*) n FROM t GROUP BY 1, 2")
@@ -191,7 +194,7 @@ def tile_assign_z13(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_F}, {_C}, {_S}, {_M}, {_N}, {_ST}, {_E}, w AS ({_wgs84('e')}), t AS (SELECT *, unnest(range(9, 14)) z FROM w WHERE category = 'traffic-sign-abbreviation') SELECT z, {_TX} tx, {_TY} ty, count(*) n FROM t GROUP BY 1, 2, 3")
 def tile_full(spark: SparkSession, d: str) -> DataFrame:
-    t = tiles.full_table(geo.to_wgs84(_enriched(spark, d)), range(9, 14))
+    t = tiles.full_table(geo.to_wgs84(_enriched(spark, d, turned=False)), range(9, 14))
     return t.groupBy(F.col("z").cast("long").alias("z"), "tx", "ty").agg(F.count("*").alias("n"))
 
 
@@ -200,7 +203,7 @@ t AS (SELECT *, {_TX} tx, {_TY} ty FROM (SELECT *, unnest(range(9, 14)) z FROM w
 SELECT z, tx, ty, fid, minzoom IS NOT NULL pinned FROM t WHERE minzoom IS NOT NULL
 UNION ALL SELECT z, tx, ty, fid, false FROM (SELECT * FROM t WHERE minzoom IS NULL QUALIFY row_number() OVER (PARTITION BY z, tx, ty ORDER BY prio, fid) <= 20)""")
 def tile_overview_thinned(spark: SparkSession, d: str) -> DataFrame:
-    copies = geo.to_wgs84(enrich.lod_copies(_enriched(spark, d)))
+    copies = geo.to_wgs84(enrich.lod_copies(_enriched(spark, d, turned=False)))
     placed = tiles.tiled(copies, range(9, 14)).select("z", "tx", "ty", "fid", "prio", "minzoom")
     kept = tiles.thinned(_written(placed, "placed"), F.col("prio"))
     return kept.select(F.col("z").cast("long").alias("z"), "tx", "ty", "fid", F.col("minzoom").isNotNull().alias("pinned"))
@@ -286,7 +289,7 @@ def tier_style(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_C}, {_F}, {_M}, {_S}, {_N}, {_ST} SELECT stack_off, CASE WHEN stack_off % 8 = 0 AND stack_off BETWEEN 0 AND 2000 THEN stack_off ELSE 0 END shown, count(*) n FROM st GROUP BY 1, 2")
 def stack_offset_match(spark: SparkSession, d: str) -> DataFrame:
-    return _stacks(spark, d).groupBy("stack_off", style.grid_offset(F.col("stack_off")).alias("shown")).agg(F.count("*").alias("n"))
+    return asm.stack_assemblies(_members(spark, d)).groupBy("stack_off", style.grid_offset(F.col("stack_off")).alias("shown")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, round(CASE WHEN v <= 11 THEN 2.5e0 WHEN v <= 16 THEN 2.5e0 + 3.5e0 * (v - 11) / 5 WHEN v <= 19 THEN 6 + 3e0 * (v - 16) / 3 ELSE 9 END, 6) radius FROM (SELECT event_id, 9 + event_id % 120 / 10e0 v FROM events)")
@@ -421,7 +424,7 @@ def catalogue_merge(spark: SparkSession, d: str) -> DataFrame:
 SELECT substr(sha256(concat(coalesce(sum(CAST(concat('0x', substr(md5(r), 1, 15)) AS HUGEINT)), 0), '|', count(*))), 1, 12) AS version FROM t""")
 def dataset_version(spark: SparkSession, d: str) -> DataFrame:
     milli = [F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("x", "y")]
-    return tiles.content_version(_enriched(spark, d).select("fid", "category", *milli, "stack_index"))
+    return tiles.content_version(_enriched(spark, d, turned=False).select("fid", "category", *milli, "stack_index"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) fid, CASE WHEN s_suppkey % 4 > 0 THEN concat('G', s_nationkey) END gg, concat('TS', s_suppkey) sign_id, 801000e0 + s_suppkey x, 802000e0 + s_nationkey y FROM supplier")
@@ -484,4 +487,4 @@ def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_to_table(streams.tumbling_counts(streams.event_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
 
 
-from waymark.plans import edges  # noqa: E402, F401  registers the queries of special cases
+from waymark.plans import edges, maps, tilings  # noqa: E402, F401  registers the queries of special cases, of expressions and of tiles
