@@ -58,7 +58,7 @@ class GramIndex:
         wanted = rarest.select("query", "needle", "gram").unionByName(short.join(inside, "needle").select("query", "needle", "gram"))
         salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         candidates = salted.join(self.lists, ["gram", "salt"]).select("query", "needle", "id").distinct()
-        return candidates.join(self.texts, "id").where(F.contains("text", F.col("needle"))).select("query", "id")
+        return candidates.join(self.texts, "id").where(F.contains("text", F.col("needle"))).select("query", "id").distinct()
 
 
 def gram_index(texts: DataFrame, n: int = LATIN) -> GramIndex:
