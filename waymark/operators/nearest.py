@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import cell, compass, js_round, projected
@@ -49,8 +49,9 @@ def nearest_segments(points: DataFrame, segments: DataFrame, key: str = "fid") -
     probe = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x"), RADIUS).alias("gx"), cell(F.col("y"), RADIUS).alias("gy"))
     qx, qy, d = projected(F.col("px"), F.col("py"), ax, ay, bx, by)
     near = probe.join(listed, ["gx", "gy"]).select(key, "seg_id", d.alias("d"), qx.alias("qx"), qy.alias("qy"), (bx - ax).alias("dx"), (by - ay).alias("dy"), "px", "py")
-    best = near.where(F.col("d") < RADIUS).groupBy(key).agg(F.min(F.struct("d", "seg_id", "qx", "qy", "dx", "dy", "px", "py")).alias("b"))
-    return best.select(key, "b.*")
+    # the limit on the row number also runs before the shuffle
+    first = F.row_number().over(Window.partitionBy(key).orderBy("d", "seg_id"))
+    return near.where(F.col("d") < RADIUS).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def face_bearings(nearest: DataFrame, key: str = "fid") -> DataFrame:

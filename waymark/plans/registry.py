@@ -487,4 +487,4 @@ def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_to_table(streams.tumbling_counts(streams.event_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
 
 
-from waymark.plans import edges, indexes, maps, pictures, tilings  # noqa: E402, F401  registers the other queries
+from waymark.plans import distances, edges, indexes, maps, pictures, published, tilings  # noqa: E402, F401  registers the other queries
