@@ -123,6 +123,23 @@ def to_wgs84(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return df.withColumns({name: F.expr(text) for name, text in wgs84_sql(x, y).items()})
 
 
+def metre_bounds(west: float, south: float, east: float, north: float) -> tuple[float, float, float, float]:
+    """Bounds in EPSG:2326 metres (least x, least y, greatest x, greatest y) that hold a box of degrees, a little widened.
+
+    The corners go back by Newton steps on the exact transform; the margin of a metre and
+    a twentieth of the box covers the bend of its edges.
+    """
+    lng, lat = np.array([west, east, west, east]), np.array([south, south, north, north])
+    x, y = np.full(4, sum(AREA_X) / 2), np.full(4, sum(AREA_Y) / 2)
+    for _ in range(12):
+        (a, b), (ax, bx), (ay, by) = exact_wgs84(x, y), exact_wgs84(x + 1, y), exact_wgs84(x, y + 1)
+        xx, xy, yx, yy = ax - a, ay - a, bx - b, by - b
+        u, v, det = lng - a, lat - b, xx * yy - xy * yx
+        x, y = x + (u * yy - v * xy) / det, y + (v * xx - u * yx) / det
+    margin = [1.0 + (c.max() - c.min()) / 20 for c in (x, y)]
+    return float(x.min() - margin[0]), float(y.min() - margin[1]), float(x.max() + margin[0]), float(y.max() + margin[1])
+
+
 def tile_x(lng: Column, z: Column) -> Column:
     """Web-Mercator tile column."""
     return F.floor((lng + F.lit(180.0)) / F.lit(360.0) * F.pow(F.lit(2.0), z)).cast("long")

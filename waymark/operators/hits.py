@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import metre_bounds
+
 # Half the hit box in pixels, and the width of the world at zoom 0.
 HIT_PIXELS, WORLD_PIXELS = 6.0, 512.0
 
@@ -29,6 +31,12 @@ def box_hits(features: DataFrame, lng: float, lat: float, zoom: float) -> DataFr
     return features.where(F.col("lng").between(west, east) & F.col("lat").between(south, north))
 
 
+def near_hit_box(features: DataFrame, lng: float, lat: float, zoom: float) -> DataFrame:
+    """Features whose metres may lie in the hit box: plain bounds that leave few rows to reproject."""
+    west, south, east, north = metre_bounds(*hit_box(lng, lat, zoom))
+    return features.where(F.col("x").between(west, east) & F.col("y").between(south, north))
+
+
 def hit_key() -> Column:
     """A hit's identity: place to six digits, the first name it has, and its category."""
     name = F.coalesce("sign_id", "pole_id", "refname", F.lit(""))

@@ -315,7 +315,7 @@ SELECT sign_id, category, min(concat(fid, copy)) fid, count(*) copies FROM h GRO
 def hit_box_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """A click on features that two rendered layers hold: each once, the first copy."""
     f = adapter.features(spark, d).withColumn("pole_id", F.lit(None).cast("string")).withColumn("refname", F.lit(None).cast("string"))
-    w = _written(geo.to_wgs84(f), "placed")
+    w = geo.to_wgs84(hits.near_hit_box(f, 114.1, 22.35, 8))
     both = w.withColumn("copy", F.lit("a")).unionByName(w.where("category <> 'pole'").withColumn("copy", F.lit("b")))
     found = hits.box_hits(both, 114.1, 22.35, 8).withColumn("fid", F.concat("fid", "copy")).withColumn("k", hits.hit_key())
     n = found.groupBy("k").agg(F.count("*").alias("copies"))
@@ -480,11 +480,12 @@ def click_cycle_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("cycle_index", F.col("cycle_index").cast("long"))
 
 
-@query()
+@query("SELECT s AS start, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) s, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2) WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts as a stream; windows that the watermark has not passed are withheld."""
     folder = Stage(spark, "windows").folder
-    return streams.run_to_table(streams.tumbling_counts(streams.event_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
+    w = streams.run_to_table(streams.tumbling_counts(streams.event_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from waymark.plans import distances, edges, indexes, maps, pictures, published, tilings  # noqa: E402, F401  registers the other queries
+from waymark.plans import boxes, distances, edges, indexes, maps, pictures, published, tilings, timed, usage  # noqa: E402, F401  registers the other queries

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from waymark.operators.hits import last_by
 from waymark.sources.commits import Commits
@@ -134,7 +134,8 @@ class KeyedTable(_Versions):
         new = kept.unionByName(given.where(F.col("_given") & F.col("_bucket").isin(touched)).drop("_given"))
         path = self._aside()
         new.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        left = {r[0] for r in self.spark.read.parquet(path).select("_bucket").distinct().collect()} if touched else set()
+        written = self.spark.read.schema(StructType([*self.schema.fields, StructField("_bucket", IntegerType())])).parquet(path)
+        left = {r[0] for r in written.select("_bucket").distinct().collect()}
         folders = {b: p for b, p in (self.manifest(base) or {"buckets": {}})["buckets"].items() if int(b) not in touched}
         folders |= {str(b): f"{path}/_bucket={b}" for b in touched if b in left}
         return self._commit(base + 1, {"buckets": folders, "rewritten": touched})
