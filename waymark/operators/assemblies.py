@@ -79,6 +79,18 @@ def companion_index(members: DataFrame, wanted: list[str] | None = None) -> Data
     return members.select("sign_id", "gg").distinct().join(posts, "gg", "left_semi").select("sign_id", "gg")
 
 
+def sign_group_lists(companions: DataFrame, most: int = 10_000) -> DataFrame:
+    """sign_id, part and gg_names of a companion index: a sign's assemblies in lists of about ``most``, so that no common sign makes one huge list."""
+    parts = companions.groupBy("sign_id").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    dealt = companions.join(parts, "sign_id").withColumn("part", F.pmod(F.xxhash64("gg"), F.col("_parts")).cast("int"))
+    return dealt.groupBy("sign_id", "part").agg(F.array_sort(F.collect_set("gg")).alias("gg_names"))
+
+
+def write_sign_groups(companions: DataFrame, path: str) -> None:
+    """The companion index as JSON lines."""
+    sign_group_lists(companions).write.json(path)
+
+
 def stack_counters(stacks: DataFrame) -> DataFrame:
     """One row: members, assemblies, distinct anchors, the largest assembly and the furthest offset; zeros without stacks."""
     first = F.count_if(F.col("stack_index") == 0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +11,10 @@ from waymark.plans.staging import Stage
 from waymark.sources import pictures
 
 
-def _draw(width: int, height: int, seed: int) -> bytes:
-    """An upright bar of full alpha on the left, one pixel of half alpha beside it, nothing elsewhere; all five filters take turns."""
-    pixels = np.zeros((height, width, 4), np.uint8)
-    bar = seed % (width - 1)
-    pixels[:, :bar] = (seed % 251, 90, 200, 255)
-    pixels[seed % height, bar, 3] = 51
-    return pictures.encode_png(pixels, [seed % 5, 4, 3, 2, 1, 0])
-
-
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
     """A picture per part, written as bytes and read again."""
     p = spark.read.parquet(f"{d}/part.parquet").withColumn("code", F.concat(F.lit("TS"), "p_partkey"))
-    drawn = pictures.drawn(p, "code", F.expr("8 + p_size % 17"), F.expr("4 + p_partkey % 9"), _draw, F.expr("p_partkey * 7 + p_size"))
+    drawn = pictures.drawn(p, "code", F.expr("8 + p_size % 17"), F.expr("4 + p_partkey % 9"), pictures.bar_picture, F.expr("p_partkey * 7 + p_size"))
     return Stage(spark, "pictures").put(drawn, "png")
 
 

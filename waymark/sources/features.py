@@ -7,15 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The layers with file, category and whether they are tiled.
+# The layers with file, category, geometry, label and whether they are tiled.
 LAYERS = [
-    ("DTAD_TS_POLE_PT", "traffic-sign-pole", "point", True),
-    ("DTAD_TS_ABV_PT", "traffic-sign-abbreviation", "point", True),
-    ("DTAD_PS_POLE_PT", "pedestrian-sign-pole", "point", True),
-    ("DTAD_DS_POLE_PT", "directional-sign-pole", "point", True),
-    ("DTAD_PS_ANNO_PT", "tourist-sign", "point", True),
-    ("DTAD_RD_MARK_LINE", "road-marking", "line", False),
+    ("DTAD_TS_POLE_PT", "traffic-sign-pole", "point", "Traffic sign pole", True),
+    ("DTAD_TS_ABV_PT", "traffic-sign-abbreviation", "point", "Traffic sign abbreviation", True),
+    ("DTAD_PS_POLE_PT", "pedestrian-sign-pole", "point", "Pedestrian sign pole", True),
+    ("DTAD_DS_POLE_PT", "directional-sign-pole", "point", "Directional sign pole", True),
+    ("DTAD_PS_ANNO_PT", "tourist-sign", "point", "Tourist sign", True),
+    ("DTAD_RD_MARK_LINE", "road-marking", "line", "Road marking line (for face-bearing derivation)", False),
 ]
+# The sheets' prefix, first and last number, and group.
+SHEETS = [
+    ("TS", 101, 205, "regulatory"), ("TS", 206, 310, "regulatory"), ("TS", 311, 400, "regulatory"), ("TS", 401, 505, "warning"), ("TS", 506, 600, "warning"), ("TS", 601, 700, "informatory"),
+    ("TS", 701, 805, "supplementary"), ("TS", 806, 900, "supplementary"), ("TS", 901, 1000, "temporary"), ("TS", 2101, 2205, "regulatory"), ("TS", 2206, 2310, "regulatory"), ("TS", 2601, 2717, "informatory"),
+    ("TS", 3601, 3705, "informatory"), ("TS", 3706, 3810, "supplementary"), ("TS", 3811, 3936, "informatory"), ("TS", 3937, 4062, "warning"),
+]
 
 _ATTRIBUTE = T.ArrayType(T.StructType([T.StructField("_name", T.StringType()), T.StructField("gen:value", T.StringType())]))
 _POINT = T.StructType([T.StructField("gml:pos", T.StringType())])
@@ -34,8 +40,14 @@ MEMBER = T.StructType(
 
 
 def layer_manifest(spark: SparkSession) -> DataFrame:
-    """file, category, geometry and tiled of every layer."""
-    return spark.createDataFrame(LAYERS, "file string, category string, geometry string, tiled boolean")
+    """file, category, geometry, label and tiled of every layer."""
+    return spark.createDataFrame(LAYERS, "file string, category string, geometry string, label string, tiled boolean")
+
+
+def sheet_manifest(spark: SparkSession) -> DataFrame:
+    """pdf, prefix, lo, hi and grp of every sheet; a sheet's file is named after its numbers."""
+    rows = [(f"({prefix} {lo} - {hi}).pdf", prefix, lo, hi, grp) for prefix, lo, hi, grp in SHEETS]
+    return spark.createDataFrame(rows, "pdf string, prefix string, lo int, hi int, grp string")
 
 
 def layer_files(manifest: DataFrame) -> DataFrame:
@@ -155,12 +167,16 @@ def read_json_map(spark: SparkSession, path: str, value: str, required: bool = F
     return rows.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
-def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """code, w and h from the headers of PNG files; w and h are big-endian at bytes 16 and 20."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
-    code = F.regexp_extract("path", r"([^/]+)\.png$", 1)
+def header_sizes(pictures: DataFrame, key: str = "code") -> DataFrame:
+    """``key``, w and h from the headers of PNG ``content``; w and h are big-endian at bytes 16 and 20."""
 
     def number(at: int) -> Column:
         return F.conv(F.hex(F.substring("content", at + 1, 4)), 16, 10).cast("int")
 
-    return files.select(code.alias("code"), number(16).alias("w"), number(20).alias("h"))
+    return pictures.select(key, number(16).alias("w"), number(20).alias("h"))
+
+
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """code, w and h from the headers of PNG files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
+    return header_sizes(files.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("code"), "content"))

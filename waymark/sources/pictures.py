@@ -160,6 +160,15 @@ def encode_png(pixels: np.ndarray, filters: list[int] | None = None) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(out))) + chunk(b"IEND", b"")
 
 
+def bar_picture(width: int, height: int, seed: int) -> bytes:
+    """A picture of known coverage: an upright bar of full alpha on the left, one pixel of a fifth beside it, all filters in turn."""
+    pixels = np.zeros((height, width, 4), np.uint8)
+    bar = seed % (width - 1)
+    pixels[:, :bar] = (seed % 251, 90, 200, 255)
+    pixels[seed % height, bar, 3] = 51
+    return encode_png(pixels, [seed % 5, 4, 3, 2, 1, 0])
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _FACTS.split(", ")]
     for batch in batches:
