@@ -488,4 +488,4 @@ def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from waymark.plans import boxes, distances, edges, indexes, maps, pictures, published, sides, tilings, timed, usage  # noqa: E402, F401  registers the other queries
+from waymark.plans import boxes, distances, edges, indexes, maps, pictures, published, sheets, sides, tilings, timed, usage  # noqa: E402, F401  registers the other queries
