@@ -41,7 +41,7 @@ def test_op8_finds_unlabelled_credentials_and_leaves_plain_tokens(spark):
     hexed, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
     def secret(k):
-        return [lambda: _drawn(r, hexed, 30), lambda: base64.b64encode(r.bytes(30)).decode(), lambda: "AKIA"[:0] + "tk_" + _drawn(r, hexed + "ghijklmnopqrstuvwxyz", 28)][k]()
+        return [lambda: _drawn(r, hexed, 30), lambda: base64.b64encode(r.bytes(30)).decode(), lambda: "tk_" + _drawn(r, hexed + "ghijklmnopqrstuvwxyz", 28)][k]()
 
     words = "configuration documentation international responsibility administration organisation understanding communication environment development".split()
 
@@ -71,6 +71,28 @@ def test_op8_finds_unlabelled_credentials_and_leaves_plain_tokens(spark):
     assert wrong <= 0.1 * found, wrong
 
 
+def test_op8_every_candidate_is_scored(spark):
+    """Counts, best format and digest equal a plain evaluation of the automata."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    formats = secrets.learn_formats(docs)
+    rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    for doc_id, text in docs.collect():
+        digest, best = hashlib.sha256(), []
+        for a, b in secrets.candidates(text):
+            classes = secrets.symbols(text[a:b])
+            likely = {k: f.log_likelihood_of(classes) for k, f in formats.formats.items()}
+            kind = max(likely, key=lambda k: (likely[k], k))
+            odds = likely[kind] - formats.background.log_likelihood_of(classes)
+            best.append((odds, kind))
+            digest.update(f"{a}:{b}:{kind}:{odds:.2f},".encode())
+        r = rows[doc_id]
+        assert (r["n_candidates"], r["odds_sha256"]) == (len(best), digest.hexdigest())
+        assert (r["top_format"], r["top_odds"]) == ((max(best)[1], round(max(best)[0], 4)) if best else (None, None))
+    # credentials of the base patterns stand out: the formats explain them better than ordinary tokens do
+    hexes = [r["top_odds"] for r in rows.values() if r["n_hex"]]
+    assert hexes and min(hexes) > 5
+
+
 def test_op10_additions_are_right(spark):
     """Personal data just beyond the base patterns is found; order numbers, sums and versions are not."""
     r = np.random.default_rng(11)
@@ -78,25 +100,26 @@ def test_op10_additions_are_right(spark):
 
     def phone(plus=True):
         a, b, c = r.integers(200, 999), r.integers(200, 999), r.integers(1000, 9999)
-        return f"{'+1 ' if plus else ''}({a}) {b}-{c}"
+        return f"{'+' if plus else ''}1 ({a}) {b}-{c}"
 
-    for i in range(1200):
+    for i in range(3000):
         word = _drawn(r, "etaoinshrdlu", 6)
         kind = i % 6
         real = [f"call {phone()} now", f"mail {word}.{word[:3]}@{word[::-1]}.example.org please", f"from 10.{r.integers(256)}.{r.integers(256)}.{r.integers(256)} came"]
         other = [f"order {r.integers(10**7, 10**9)} of {word}", f"total {r.integers(10**7, 10**8)} units, {word}", f"version {r.integers(1, 20)}.{r.integers(1, 20)}.{r.integers(1, 20)} of {word}"]
         docs.append((i, (real + other)[kind]))
-    for i in range(2000, 2100):
+    for i in range(4000, 4010):  # few beside the right ones: a threshold stands for 95 %
         docs.append((i, f"call {phone(False)} now"))
         planted[i] = 5
-    for i in range(3000, 3150):
+    for i in range(5000, 5150):
         docs.append((i, f"order {r.integers(10**7, 10**9)} of {_drawn(r, 'etaoinshrdlu', 6)}"))
         clean.add(i)
     rows = {x["doc_id"]: x["spans"] for x in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     wrong = sum("likely" in rows[i] for i in clean)
     found = sum("likely" in rows[i] for i in planted)
     assert wrong <= 0.05 * len(clean), wrong
-    assert found == 0 or wrong <= 0.1 * found, (found, wrong)
+    # one format of each kind: enough to judge by
+    assert found >= 0.9 * len(planted), (found, wrong)
 
 
 def test_op10_finds_what_the_base_patterns_just_miss(spark):
@@ -132,6 +155,32 @@ def test_op10_finds_what_the_base_patterns_just_miss(spark):
     assert all(rows[i]["n_card"] + rows[i]["n_phone"] == 0 for i in found)
 
 
+def test_op10_every_candidate_is_judged(spark):
+    """The columns equal a plain evaluation of the model, base spans included."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.learn_redaction(docs)
+    assert (model.thresholds < 1).any()
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    judged = 0
+    for doc_id, text in docs.collect():
+        spans = sorted({*pii.candidates(text), *((a, b) for _, a, b in pii.base_spans(text))})
+        x = np.array([pii.features(text, a, b) for a, b in spans])
+        p = model.probability(x) if spans else np.zeros(0)
+        row = rows[doc_id]
+        assert row["scores"] == ",".join(f"{a}:{b}:{v:.3f}" for (a, b), v in zip(spans, p, strict=True))
+        assert row["n_candidates"] == len(spans)
+        assert row["n_above"] == ((p >= model.thresholds[pii.shapes(x)]).sum() if spans else 0)
+        judged += len(spans)
+    assert judged > 100
+
+
+def test_op10_limits_of_a_share():
+    low, high = boosting.limits(np.array([0, 5, 30, 300]), np.array([0, 10, 30, 300]))
+    assert low[0] == pytest.approx(0, abs=1e-6) and high[0] == pytest.approx(1, abs=1e-6)
+    assert low[1] < 0.5 < high[1]
+    assert 0.93 < low[2] < 0.96 < low[3] < high[3] <= 1
+
+
 def test_op10_thresholds_by_shape():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 3))

@@ -190,7 +190,7 @@ class Formats:
     def __init__(self, values: dict[str, list[str]], background: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(values.items()) if v}
         self.background = Automaton(self._plain(background))
-        self._known: dict[str, bool] = {}
+        self._known: dict[str, tuple[float, str]] = {}
 
     def _plain(self, background: list[str]) -> list[str]:
         """The background without what the formats explain far better; a half of it judges the other, as none knows its own tokens."""
@@ -211,21 +211,24 @@ class Formats:
     def _far(odds: float, n: int) -> bool:
         return odds >= max(LEAST_ODDS, LEAST_PER_CHARACTER * (n + 1))
 
-    def odds(self, token: str) -> float:
-        """Log-likelihood ratio of the best format against the background, over the whole token."""
-        classes = symbols(token)
-        return self._best(classes) - self.background.log_likelihood_of(classes)
-
-    def is_likely(self, token: str) -> bool:
-        """Whether a token is far more likely under a format than as an ordinary token."""
+    def judged(self, token: str) -> tuple[float, str]:
+        """Log-likelihood ratio of the best format against the background, over the whole token, and that format."""
         classes = symbols(token)
         out = self._known.get(classes)
         if out is None:
-            out = self._far(self.odds(token), len(token))
+            best, kind = max((f.log_likelihood_of(classes), k) for k, f in self.formats.items())
+            out = best - self.background.log_likelihood_of(classes), kind
             if len(classes) <= 64 and len(self._known) < 100_000:  # a worker's memory; others are computed again
                 self._known[classes] = out
         return out
 
+    def odds(self, token: str) -> float:
+        return self.judged(token)[0]
+
+    def is_likely(self, token: str) -> bool:
+        """Whether a token is far more likely under a format than as an ordinary token."""
+        return self._far(self.odds(token), len(token))
+
     def likely(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         """The token itself if it is likely, else its likely parts between ``/``, ``=`` and ``.``."""
         if self.is_likely(text[a:b]):
@@ -295,7 +298,7 @@ def learn_formats(docs: DataFrame) -> Formats | None:
     return Formats({k: sorted(v, key=lambda x: zlib.crc32(x.encode()))[:SAMPLE_VALUES] for k, v in rows.items()}, background)
 
 
-_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, top_format string, top_odds double, odds_sha256 string"
 
 
 def _scan(formats: Formats | None):
@@ -307,14 +310,20 @@ def _scan(formats: Formats | None):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc_id, text = doc_id.as_py(), text.as_py() or ""
                 base = base_spans(text)
-                more, taken = [], Cover(base)
+                more, taken, top = [], Cover(base), None
+                number, all_odds = 0, hashlib.sha256()
                 for a, b in candidates(text) if formats else ():
+                    odds, kind = formats.judged(text[a:b])
+                    number += 1
+                    all_odds.update(f"{a}:{b}:{kind}:{odds:.2f},".encode())
+                    top = max(top or (odds, kind), (odds, kind))
                     if not taken.touches(a, b):
                         more += [(ADDED, x, y) for x, y in formats.likely(text, a, b)]
                 n = Counter(k for k, _, _ in base)
-                rows.append((doc_id, n["assign"], n["access"], n["hex"], digest(base, KINDS), joined(base + more, order)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                seen = (number, top and top[1], top and round(top[0], 4), all_odds.hexdigest())
+                rows.append((doc_id, n["assign"], n["access"], n["hex"], digest(base, KINDS), joined(base + more, order), *seen))
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
 
     return run
@@ -324,7 +333,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Secrets in every whole text of ``docs(doc_id, text)``.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 and spans, which also
-    holds the added spans of kind ``format``.  Null text is empty; repeated rows
+    holds the added spans of kind ``format``.  What the automata say of every candidate
+    shows in n_candidates, in the largest log-likelihood ratio and its format
+    (top_odds, top_format), and in odds_sha256, the digest of start:end:format:ratio
+    (two decimals) and a comma for each in order.  Null text is empty; repeated rows
     and null doc_ids are rows of their own; an empty table gives no rows; other
     columns are ignored.  Without any labelled credential, or any ordinary token
     to tell it from, no span is added.
