@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import js_round
 from waymark.functions.text import blank_to_null
+from waymark.plans.staging import Stage
 
 # Widest span in metres; plate width, gap and offset step in pixels; rank of a group.
 SPAN_CAP = 15.0
@@ -79,6 +80,19 @@ def companion_index(members: DataFrame, wanted: list[str] | None = None) -> Data
     return members.select("sign_id", "gg").distinct().join(posts, "gg", "left_semi").select("sign_id", "gg")
 
 
+def companions_of(features: DataFrame, catalogue: DataFrame, wanted: list[str]) -> DataFrame:
+    """The companion index of assemblies that hold a ``wanted`` sign, out of scans that keep little.
+
+    The assemblies of the wanted signs are written first, then their members; as
+    written tables have known sizes, joins with few of them broadcast and joins with
+    many shuffle.  Nothing else is read twice, ranked or laid out.
+    """
+    stage = Stage(features.sparkSession, "companions")
+    named = stage.put(features.where(F.col("sign_id").isin(wanted) & F.col("gg").isNotNull()).select("gg").distinct(), "named")
+    members = stage.put(catalogued_members(features.join(named, "gg", "left_semi"), catalogue).select("gg", "sign_id", "x", "y"), "members")
+    return stage.put(companion_index(members, wanted), "companions")
+
+
 def sign_group_lists(companions: DataFrame, most: int = 10_000) -> DataFrame:
     """sign_id, part and gg_names of a companion index: a sign's assemblies in lists of about ``most``, so that no common sign makes one huge list."""
     parts = companions.groupBy("sign_id").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))

@@ -123,7 +123,7 @@ def id_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT fid, gg, sign_id FROM f WHERE (sign_id IN ('TS1', 'TS5', 'TS42') OR gg IN (SELECT gg FROM g)) AND sign_id <> 'TS7'""")
 def id_filter_expanded(spark: SparkSession, d: str) -> DataFrame:
     state = vis.FilterState(mode="sign-id", ids=_IDS, hidden=frozenset({"TS7"}))
-    companions = asm.companion_index(_members(spark, d), sorted(_IDS))
+    companions = asm.companions_of(adapter.features(spark, d), adapter.catalogue(spark, d), sorted(_IDS))
     return vis.visible(adapter.features(spark, d), state, companions).select("fid", "gg", "sign_id")
 
 
