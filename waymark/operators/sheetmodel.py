@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.tablegrid import DEFAULT_PITCH, LEAST_COVER, NUMBER_WIDTH, column_pitch, first_clusters, gated_codes, interval_cover, running_clusters
+from waymark.plans.staging import Stage
 
 # Fixed values in points: share of the tallest rule that a full-height one has, reach of the header, least divider, width of a
 # symbol column, its default share of the pitch, the default number column, least row, and the shares of a pitch within which
@@ -80,8 +81,9 @@ def sheet_codes(rules: DataFrame, tokens: DataFrame, sheets: DataFrame) -> DataF
     """
     v = rules.where("kind = 'v'").selectExpr("page", "at x", "lo y0", "hi y1")
     h = rules.where("kind = 'h'").selectExpr("page", "at y", "lo x0", "hi x1")
-    framed = frames(v)
-    groups = column_groups(boundaries(v, framed))
+    stage = Stage(rules.sparkSession, "sheets")  # both are small, and several branches read them
+    framed = stage.put(frames(v), "frames")
+    groups = stage.put(column_groups(boundaries(v, framed)), "groups")
     cells = group_rows(groups, h, framed).join(groups.select("page", "k", "made"), ["page", "k"])
     codes = gated_codes(tokens, sheets).select("page", F.col("col").alias("k"), "row", "code", "falls")
     return cells.join(codes, ["page", "k", "row"])

@@ -53,6 +53,7 @@ def _strokes(spark: SparkSession, d: str) -> DataFrame:
     slivers = f"transform(sequence(0, g - 1), k -> case when p % 5 = 0 then {path(left, '33', f'{left} + 65', '33')} else '' end)"
     frame = [path("20", "30", "20", "30 + r * rh"), path("40 + g * pitch", "30", "40 + g * pitch", "30 + r * rh")]
     page = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*[c.strip() for c in _PAGE.split(",")])
+    page = page.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")  # a small file grows to long texts
     return page.selectExpr("p page", f"concat_ws('', array({', '.join(frame)}), {groups}, {borders}, {slivers}) value")
 
 
