@@ -62,7 +62,8 @@ def sheet_chain(spark: SparkSession, d: str) -> DataFrame:
     """Codes of all cells of all pages, from the drawing trace through dividers, groups and rows."""
     pages = _strokes(spark, d)
     rules = Stage(spark, "sheets").put(src.drawn_rules(pages), "rules")
-    cells = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    customers = spark.read.parquet(f"{d}/customer.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    cells = customers.select(F.col("c_custkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(11))))
     number = F.expr("concat(' ', 101 + page % 40 + col * 12 + row, case when row % 3 = 0 then 'a' else '' end)")
     tokens = cells.withColumn("tokens", F.array(F.lit("none"), F.lit("TC 9"), number, F.lit("999")))
     sheets = pages.select("page", F.lit("TS").alias("prefix"), F.lit(101).alias("lo"), F.lit(400).alias("hi"), F.lit("regulatory").alias("grp"))
