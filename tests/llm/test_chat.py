@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 from tests.llm.conftest import TOKENIZER, made_text
 from waymark.llm import chat as module
@@ -43,6 +44,20 @@ def test_mask_covers_learned_text_and_nothing_else(seed):
     assert c.read(ids, mask) == (turns, "".join(t for role, t in turns if role == LEARNED), len(text))
 
 
+def test_ids_and_offsets_are_the_tokenizers_own():
+    """The same as the library gives for the rendered text with the marks as added tokens."""
+    own = Tokenizer.from_file(TOKENIZER)
+    own.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
+    c = chat(TOKENIZER)
+    texts = [c.render([(LEARNED, odd_text(i)), ("user", made_text(i, 30)), ("", "")])[0] for i in range(40)]
+    for text, (ids, offsets) in zip(texts, c.encode(texts), strict=True):
+        e = own.encode(text, add_special_tokens=False)
+        assert e.ids == ids.tolist()
+        place = np.cumsum([0, *(len(ch.encode()) for ch in text)])  # of each character in bytes
+        # within a character the library repeats its place
+        assert all(place[a] <= s and t <= place[b] for (a, b), (s, t) in zip(e.offsets, offsets.tolist(), strict=True))
+
+
 def plain(rows):
     """The digests of (conv_id, turn, role, text) rows."""
     c, out, groups = chat(TOKENIZER), [], {}

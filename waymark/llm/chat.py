@@ -1,13 +1,13 @@
-r"""Chat formatting with a loss mask that is aligned by character offsets.
+r"""Chat formatting with a loss mask that is aligned by offsets.
 
 A conversation is rendered whole: each turn as ``<turn>role<text>text</turn>``
-and a line end.  The three marks are added tokens of the given tokenizer, so no
+and a line end.  The three marks are tokens beside the given tokenizer's own, so no
 token crosses one.  Inside roles and texts a backslash is doubled, and a mark (or
 an added token of the tokenizer file) gets a backslash after its first character;
 dropping every backslash before a character undoes both.
 
 The rendered text is encoded once with offsets; a token is under the mask if its
-characters meet a span of assistant text, found by binary search among the ends
+bytes meet a span of assistant text, found by binary search among the ends
 of the sorted spans.
 
 Turns are dealt by range in conversation order, so a conversation with very many
@@ -17,7 +17,7 @@ where a piece is large; pieces give the same tokens as the whole.
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.tokens import byte_of_char, encoder
+
 #: Characters after which a conversation goes on in another piece, and of pieces that are encoded at once.
 PIECE, BATCH = 1 << 20, 1 << 20
 TURN, TEXT, END = MARKS = ("<turn>", "<text>", "</turn>")
@@ -41,17 +43,28 @@ _chats: dict[str, Chat] = {}
 
 
 class Chat:
-    """The template under one tokenizer file."""
+    """The template under one byte-level BPE file."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        controls = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()} | set(MARKS)
-        self.tokenizer.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
-        self.turn, self.text, self.end = (self.tokenizer.token_to_id(m) for m in MARKS)
-        self._control = re.compile("|".join(re.escape(c) for c in sorted(controls, key=len, reverse=True)))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError("offsets come from the bytes of each token: the file must be byte-level")
+        self.encoder = encoder(path)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        of = byte_of_char()
+        size = max([*spec["model"]["vocab"].values(), *added.values()]) + 1
+        self.turn, self.text, self.end = range(size, size + len(MARKS))
+        self.bytes: list[bytes] = [b""] * (size + len(MARKS))
+        for token, i in spec["model"]["vocab"].items():
+            if token not in added:
+                self.bytes[i] = bytes(of[c] for c in token)
+        for token, i in [*added.items(), *zip(MARKS, (self.turn, self.text, self.end), strict=True)]:
+            self.bytes[i] = token.encode()
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        controls = sorted({*added, *MARKS}, key=len, reverse=True)
+        self._control = re.compile("|".join(map(re.escape, controls)))
+        self._mark = re.compile("(" + "|".join(map(re.escape, MARKS)) + ")")
 
     def escape(self, value: str) -> str:
         return self._control.sub(lambda m: m[0][0] + "\\" + m[0][1:], value.replace("\\", "\\\\"))
@@ -61,30 +74,48 @@ class Chat:
         return re.sub(r"\\(.)", r"\1", value, flags=re.DOTALL)
 
     def render(self, turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
-        """The text of (role, text) turns, and start and end of each text to learn that isn't empty."""
+        """The text of (role, text) turns, and start and end (in bytes of UTF-8) of each text to learn that isn't empty."""
         out, spans, at = [], [], 0
         for role, text in turns:
             head, body = f"{TURN}{self.escape(role)}{TEXT}", self.escape(text)
-            if role == LEARNED and body:
-                spans.append((at + len(head), at + len(head) + len(body)))
+            first, size = at + len(head.encode()), len(body.encode())
+            if role == LEARNED and size:
+                spans.append((first, first + size))
             out += head, body, f"{END}\n"
-            at += len(head) + len(body) + len(END) + 1
+            at = first + size + len(END) + 1
         return "".join(out), np.array(spans, np.int64).reshape(-1, 2)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids, and start and end of each token in characters."""
-        made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [(np.array(e.ids, np.int32), np.array(e.offsets, np.int64).reshape(-1, 2)) for e in made]
+        """Ids of rendered texts, and start and end of each token in bytes: a byte-level token is as long as its bytes.
+
+        A mark is one token, and no token crosses it, so what lies between marks is encoded by itself, all texts at once.
+        """
+        split = [self._mark.split(t) for t in texts]
+        coded, offsets = self.encoder.encode([part for parts in split for part in parts[::2]])
+        coded = coded.astype(np.int32)
+        known = {TURN: self.turn, TEXT: self.text, END: self.end}
+        out, at = [], 0
+        for parts in split:
+            bounds = offsets[at : at + len(parts[::2]) + 1]
+            at += len(parts[::2])
+            marks = np.array([known[m] for m in parts[1::2]], np.int32)
+            ids = np.insert(coded[bounds[0] : bounds[-1]], bounds[1:-1] - bounds[0], marks)
+            ends = np.cumsum(self.lengths[ids])
+            out.append((ids, np.stack([ends - self.lengths[ids], ends], 1)))
+        return out
 
     def read(self, ids: np.ndarray, loss: np.ndarray) -> tuple[list[tuple[str, str]], str, int]:
         """Turns, text under the mask and characters that tokens and mask stand for."""
-        starts, texts, ends = (np.flatnonzero(ids == i) for i in (self.turn, self.text, self.end))
-        parts = [ids[a + 1 : b].tolist() for a, b in zip(starts, texts, strict=True)] + [ids[a + 1 : b].tolist() for a, b in zip(texts, ends, strict=True)]
-        edges = np.flatnonzero(np.diff(loss.astype(np.int8), prepend=0, append=0))
-        parts += [ids[a:b].tolist() for a, b in edges.reshape(-1, 2)]
-        plain = [self.unescape(t) for t in self.tokenizer.decode_batch(parts, skip_special_tokens=False)] if parts else []
-        n = len(starts)
-        return list(zip(plain[:n], plain[n : 2 * n], strict=True)), "".join(plain[2 * n :]), len(self.tokenizer.decode(ids.tolist(), skip_special_tokens=False))
+        raw = b"".join([self.bytes[i] for i in ids.tolist()])
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+
+        def plain(first: np.ndarray, last: np.ndarray) -> list[str]:
+            return [self.unescape(raw[a:b].decode()) for a, b in zip(ends[first].tolist(), ends[last].tolist(), strict=True)]
+
+        starts, texts, stops = (np.flatnonzero(ids == i) for i in (self.turn, self.text, self.end))
+        edges = np.flatnonzero(np.diff(loss.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+        turns = list(zip(plain(starts + 1, texts), plain(texts + 1, stops), strict=True))
+        return turns, "".join(plain(edges[:, 0], edges[:, 1])), len(raw.decode())
 
 
 def chat(path: str) -> Chat:

@@ -37,7 +37,7 @@ _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in plain]
@@ -72,7 +72,7 @@ class PieceEncoder:
         merged = [vocab[a + b] for a, b in pairs]
         if spec["model"].get("type") != "BPE" or merged != sorted(set(merged)):
             return None
-        of = _byte_of_char()
+        of = byte_of_char()
         ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in self.added}
         return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
