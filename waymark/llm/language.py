@@ -27,7 +27,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_CHARACTERS, MOST_LANGUAGES = 60, 20_000, 200
 FEATURE_BITS, LONGEST = 18, 4
 ROUNDS, RATE, PENALTY = 20, 0.4, 1e-6
 #: Words per segment of the forward-backward pass, per batch of it, and emissions a worker keeps.
-SEGMENT, BATCH_BYTES, KEPT_WORDS = 32, 1 << 19, 100_000
+SEGMENT, BATCH_BYTES, KEPT_WORDS = 32, 1 << 19, 50_000
 #: Words after which an artificially code-switched training text changes its language.
 SWITCH = 15
 UNKNOWN = "und"

@@ -8,6 +8,8 @@ ASCII lower-casing that the operators ask for.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POSITION = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _powers: list[np.ndarray] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +72,14 @@ def byte_slices(*columns: pa.Array, most: int = 4 * CHUNK) -> Iterator[tuple[int
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield at, to
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold for later: a worker is reused, and its peak would stay."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def as_bytes(texts: list) -> list[bytes]:

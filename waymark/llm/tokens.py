@@ -22,7 +22,7 @@ import numpy as np
 from waymark.llm.text import CHUNK, as_bytes, span_hashes
 
 #: Pieces whose ids a worker keeps; beyond that it starts again (memory bound).
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 # Fixed value: the published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
