@@ -1,8 +1,9 @@
 """Stateful processors whose results come by event-time timers.
 
-State is small and closes by itself: a user's open runs of events, each with a
-timer at the time from which nothing can be added to it.  Rows of a batch may come in any
-order and are taken a frame at a time.
+State is small and closes by itself: a user's open runs of events, with one timer at the
+time from which nothing can be added to the first of them.  When it is up, all runs that
+the watermark has passed are given at once, so calls follow users, not runs.  Rows of a
+batch may come in any order.
 """
 
 from __future__ import annotations
@@ -45,34 +46,43 @@ class Runs(StatefulProcessor):
     def _timer(self, run: list) -> int:
         return -(-(run[1] + self.gap) // 1000)
 
+    def _first_timer(self, runs: list[list]) -> int | None:
+        return min(map(self._timer, runs), default=None)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         runs = self._load()
-        before = {self._timer(r) for r in runs}
+        before = self._first_timer(runs)
         for frame in rows:
-            frame = frame.sort_values(["at", "event_id"])
             at = frame["at"].to_numpy("datetime64[us]").astype("int64").tolist()
-            for t, ident, kind in zip(at, frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True):
-                own = [t, t, 1, ident, kind]
-                apart = []
-                for r in runs:
-                    if r[0] - self.gap < own[1] and own[0] < r[1] + self.gap:  # one run with the event
-                        last = max(r, own, key=lambda x: (x[1], x[3]))
-                        own = [min(r[0], own[0]), last[1], r[2] + own[2], last[3], last[4]]
-                    else:
-                        apart.append(r)
-                runs = [*apart, own]
-        after = {self._timer(r) for r in runs}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
+            runs += [[t, t, 1, ident, kind] for t, ident, kind in zip(at, frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)]
+        runs = self._merged(runs)
+        after = self._first_timer(runs)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
         self._store(runs)
         return iter(())
 
+    def _merged(self, parts: list[list]) -> list[list]:
+        """Runs and single events, those less than the gap apart as one; in order of their starts."""
+        runs: list[list] = []
+        for own in sorted(parts, key=lambda r: r[:2]):
+            if runs and own[0] < runs[-1][1] + self.gap:
+                r = runs[-1]
+                last = max(r, own, key=lambda x: (x[1], x[3]))
+                runs[-1] = [r[0], last[1], r[2] + own[2], last[3], last[4]]
+            else:
+                runs.append(own)
+        return runs
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         runs = self._load()
-        self._store([r for r in runs if self._timer(r) > now])
+        left = [r for r in runs if self._timer(r) > now]
+        self._store(left)
+        if left:
+            self.handle.registerTimer(self._first_timer(left))
         closed = [self.emit(key[0], *r) for r in sorted(runs) if self._timer(r) <= now]
         if closed:
             yield pd.DataFrame(closed)
