@@ -191,8 +191,7 @@ def build_from_files(spark: SparkSession, d: str) -> DataFrame:
     f = adapter.features(spark, d).where("category = 'traffic-sign-abbreviation'")
     text = F.expr("""concat('<core:cityObjectMember><gen:stringAttribute name="FEATUREID"><gen:value>', fid, '</gen:value></gen:stringAttribute><gen:stringAttribute name="GG_NAME"><gen:value>', gg,
       '</gen:value></gen:stringAttribute><gen:stringAttribute name="SIGNID"><gen:value>', sign_id, '</gen:value></gen:stringAttribute><gml:Point><gml:pos>', x, ' ', y, '</gml:pos></gml:Point></core:cityObjectMember>')""")
-    lines = F.concat(F.lit('<core:CityModel xmlns:core="core" xmlns:gen="gen" xmlns:gml="gml">'), F.array_join(F.collect_list("m"), "\n"), F.lit("</core:CityModel>"))
-    f.select(F.pmod(F.xxhash64("fid"), F.lit(16)).alias("part"), text.alias("m")).groupBy("part").agg(lines.alias("value")).write.partitionBy("part").text(f"{folder}/signs")
+    src.write_members(f.select(text.alias("value")), f"{folder}/signs")
     members = src.parsed(src.read_members(spark, f"{folder}/signs"))
     pos = src.numbers(F.col("gml:Point")["gml:pos"])
     parsed = members.select(*(src.attribute(name).alias(c) for name, c in (("FEATUREID", "fid"), ("GG_NAME", "gg"), ("SIGNID", "sign_id"))), pos[0].alias("x"), pos[1].alias("y"))
@@ -213,8 +212,7 @@ def rejected_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of a file that a tolerant scan can't place, counted."""
     path = f"{Stage(spark, 'rejects').folder}/members"
     text = F.expr("""concat('<core:cityObjectMember><gen:stringAttribute name="FEATUREID"><gen:value>', s_suppkey, '</gen:value></gen:stringAttribute>', case when s_suppkey % 5 > 0 then '<gml:Point><gml:pos>1 2</gml:pos></gml:Point>' else '' end, '</core:cityObjectMember>')""")
-    root = F.concat(F.lit('<core:CityModel xmlns:core="core" xmlns:gen="gen" xmlns:gml="gml">'), F.array_join(F.collect_list("m"), "\n"), F.lit("</core:CityModel>"))
-    spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % 4).alias("part"), text.alias("m")).groupBy("part").agg(root.alias("value")).write.partitionBy("part").text(path)
+    src.write_members(spark.read.parquet(f"{d}/supplier.parquet").select(text.alias("value")), path)
     return src.rejected(src.read_members(spark, path))
 
 

@@ -12,8 +12,9 @@ from waymark.sources import pictures
 
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
-    """A picture per part, written as bytes and read again."""
-    p = spark.read.parquet(f"{d}/part.parquet").withColumn("code", F.concat(F.lit("TS"), "p_partkey"))
+    """A picture per part, written as bytes and read again; parts are dealt first, as a small file of them makes much work."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", F.concat(F.lit("TS"), "p_partkey").alias("code"))
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     drawn = pictures.drawn(p, "code", F.expr("8 + p_size % 17"), F.expr("4 + p_partkey % 9"), pictures.bar_picture, F.expr("p_partkey * 7 + p_size"))
     return Stage(spark, "pictures").put(drawn, "png")
 

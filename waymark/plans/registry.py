@@ -434,9 +434,7 @@ def gml_scan(spark: SparkSession, d: str) -> DataFrame:
       case when s_suppkey % 4 > 0 then concat('<gen:stringAttribute name="GG_NAME"><gen:value>G', s_nationkey, '</gen:value></gen:stringAttribute>') else '' end,
       '<gen:stringAttribute name="SIGNID"><gen:value>TS', s_suppkey, '</gen:value></gen:stringAttribute><gml:Point><gml:pos>', 801000 + s_suppkey, ' ', 802000 + s_nationkey, '</gml:pos></gml:Point></core:cityObjectMember>')""")
     path = f"{Stage(spark, 'gml').folder}/members"
-    members = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % 8).alias("part"), text.alias("m"))
-    root = F.concat(F.lit('<core:CityModel xmlns:core="core" xmlns:gen="gen" xmlns:gml="gml">'), F.array_join(F.collect_list("m"), "\n"), F.lit("</core:CityModel>"))
-    members.groupBy("part").agg(root.alias("value")).write.partitionBy("part").text(path)
+    src.write_members(spark.read.parquet(f"{d}/supplier.parquet").select(text.alias("value")), path)
     return src.point_features(src.read_members(spark, path))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ SHEETS = [
     ("TS", 3601, 3705, "informatory"), ("TS", 3706, 3810, "supplementary"), ("TS", 3811, 3936, "informatory"), ("TS", 3937, 4062, "warning"),
 ]
 
+#: Members of a written file at most, and the start and end of its root.
+MEMBERS_PER_FILE = 100_000
+ROOT = '<core:CityModel xmlns:core="core" xmlns:gen="gen" xmlns:gml="gml">', "</core:CityModel>"
+
 _ATTRIBUTE = T.ArrayType(T.StructType([T.StructField("_name", T.StringType()), T.StructField("gen:value", T.StringType())]))
 _POINT = T.StructType([T.StructField("gml:pos", T.StringType())])
 _LINE = T.ArrayType(T.StructType([T.StructField("gml:posList", T.StringType())]))
@@ -66,6 +73,30 @@ def read_members(spark: SparkSession, path: str, row_tag: str = "core:cityObject
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(schema).load(path)
 
 
+def _rooted(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition's members with the root's start before every first of ``most`` and its end after the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held = 0, None
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                if held is not None:
+                    out.append(held + ROOT[1] if n % most == 0 else held)
+                held = ROOT[0] + text if n % most == 0 else text
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + ROOT[1]], pa.string())], ["value"])
+
+    return run
+
+
+def write_members(members: DataFrame, path: str) -> None:
+    """``members(value)``, the text of one each, row by row into files that hold MEMBERS_PER_FILE at most under a root."""
+    members.mapInArrow(_rooted(MEMBERS_PER_FILE), "value string").write.option("maxRecordsPerFile", MEMBERS_PER_FILE).text(path)
+
+
 def parsed(members: DataFrame) -> DataFrame:
     """Members that could be parsed; ``rejected`` counts the others."""
     return members.where("_corrupt_record is null")
