@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.operators.gramindex import HAN, LATIN, gram_index
+from waymark.operators.gramindex import HAN, LATIN, expanded, gram_index
 from waymark.operators.search import search_index
 from waymark.plans import adapter
 from waymark.plans.registry import _C, query
@@ -19,5 +19,5 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     index = search_index(c, c)
     spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("waymark_part")
     needles = spark.sql(_NEEDLES.replace("FROM part", "FROM waymark_part"))
-    found = [gram_index(index.selectExpr("code id", f"{column} text"), n).search(needles) for column, n in (("haystack", LATIN), ("zh", HAN))]
-    return found[0].unionByName(found[1]).distinct().withColumnRenamed("id", "code")
+    found = [gram_index(index.selectExpr("code id", f"{column} text"), n).matches(needles) for column, n in (("haystack", LATIN), ("zh", HAN))]
+    return expanded(needles, found[0].unionByName(found[1]).distinct()).withColumnRenamed("id", "code")  # a query has one needle
