@@ -5,14 +5,16 @@ pieces.  A point looks at the boxes in the nine coarse cells round it: the
 furthest corners of boxes that hold k lines bound its k-th distance, and only
 boxes that begin within that bound are opened.  If the bound ends inside the nine
 cells the point is done; the others go on in cells four times as wide.  So a point
-in a dense area opens a few small cells, and one far off meets at most some
-thousand boxes, however many lines there are behind them.  The result is exact.
+in a dense area opens a few small cells.  Boxes that were opened at a coarse level are
+followed down to the finest one, and each level closes what lies beyond the bound that
+its smaller boxes give; so a point far off meets few lines, however many there are
+behind its boxes.  The result is exact.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from waymark.operators.nearest import LEAST_LENGTH
 from waymark.plans.staging import Stage
 
 #: Side of the first coarse cells in metres, fine cells along a side, growth of a round, greatest length of a piece.
-FIRST, FINE, FACTOR, PIECE = 64.0, 16, 4, 32.0
+FIRST, FINE, FACTOR, PIECE = 64.0, 4, 4, 32.0
 #: Points of one coarse cell in one task's share of a join.
 CROWD = 10_000
 
@@ -42,24 +44,57 @@ def _pieces(segments: DataFrame) -> DataFrame:
     return cut.select("seg_id", "ax", "ay", "bx", "by", (F.col("i") == 0).cast("int").alias("head"), at["x", 0.5].alias("mx"), at["y", 0.5].alias("my"), *(c.alias(name) for name, c in boxes.items()))
 
 
-def _bounded(left: DataFrame, pieces: DataFrame, side: float, k: int) -> DataFrame:
-    """pid, px, py, fx, fy, bound and border: the boxes that points may have to open in cells of a size."""
-    fine = side / FINE
+def _box() -> list[Column]:
+    return [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+
+
+def _nodes(pieces: DataFrame) -> DataFrame:
+    """fx, fy, heads and box of the finest cells that hold pieces."""
+    fine = FIRST / FINE
+    return pieces.groupBy(_cell("mx", fine).alias("fx"), _cell("my", fine).alias("fy")).agg(F.sum("head").alias("heads"), *_box())
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The cells FACTOR times as wide."""
+    return nodes.groupBy(*(F.floor(F.col(f"f{c}") / FACTOR).cast("long").alias(f"f{c}") for c in "xy")).agg(F.sum("heads").alias("heads"), *_box())
+
+
+def _reached(met: DataFrame) -> DataFrame:
+    """``met`` with near and far, the least and greatest distance of a point and a box."""
+    gaps = [F.greatest(F.col(f"{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"{c}1"), F.lit(0.0)) for c in "xy"]
+    reach = [F.greatest(F.abs(F.col(f"{c}0") - F.col(f"p{c}")), F.abs(F.col(f"p{c}") - F.col(f"{c}1"))) for c in "xy"]
+    return met.withColumns({"near": F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1]), "far": F.sqrt(reach[0] * reach[0] + reach[1] * reach[1])})
+
+
+def _bound(k: int, *keys: str) -> tuple[Column, Callable[[str], Column]]:
+    """The lines that a point's boxes hold so far by distance, and from that column the distance within which they hold k; null if they hold fewer."""
+    point = Window.partitionBy(*keys)
+    held = F.sum("heads").over(point.orderBy("far", "fx", "fy").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return held, lambda c: F.min(F.when(F.col(c) >= k, F.col("far"))).over(point)
+
+
+def _opened(opened: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The next finer boxes of opened ones that begin within the bound, which they may lessen."""
+    inside = nodes.withColumnsRenamed({"fx": "cx", "fy": "cy"}).withColumns({f"f{c}": F.floor(F.col(f"c{c}") / FACTOR).cast("long") for c in "xy"})
+    met = _reached(opened.join(inside, ["fx", "fy"])).where("bound is null or near <= bound")
+    met = met.select("pid", "px", "py", F.col("cx").alias("fx"), F.col("cy").alias("fy"), "heads", "near", "far", "bound")
+    held, bound = _bound(k, "pid")
+    met = met.withColumn("held", held).withColumn("bound", F.least("bound", bound("held")))
+    return met.where("bound is null or near <= bound").select("pid", "px", "py", "fx", "fy", "bound")
+
+
+def _bounded(left: DataFrame, nodes: DataFrame, side: float, k: int) -> DataFrame:
+    """pid, px, py, fx, fy, near, bound and border: the boxes that points may have to open in cells of a size."""
     left = left.withColumns({"cx": _cell("px", side), "cy": _cell("py", side)})
     crowds = left.groupBy("cx", "cy").agg(F.count("*").alias("crowd")).select("cx", "cy", F.ceil(F.col("crowd") / CROWD).cast("int").alias("shares"))
-    nodes = pieces.groupBy(_cell("mx", fine).alias("fx"), _cell("my", fine).alias("fy")).agg(F.sum("head").alias("heads"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     for c in "xy":  # every node is listed in the nine coarse cells that may look at it
         own = F.floor(F.col(f"f{c}") / FINE).cast("long")
         nodes = nodes.withColumn(f"c{c}", F.explode(F.array(own - 1, own, own + 1)))
     listed = nodes.join(crowds, ["cx", "cy"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     dealt = left.join(crowds, ["cx", "cy"]).withColumn("share", F.pmod("pid", "shares").cast("int")).drop("shares")
     met = dealt.join(listed, ["cx", "cy", "share"])
-    gaps = [F.greatest(F.col(f"{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"{c}1"), F.lit(0.0)) for c in "xy"]
-    reach = [F.greatest(F.abs(F.col(f"{c}0") - F.col(f"p{c}")), F.abs(F.col(f"p{c}") - F.col(f"{c}1"))) for c in "xy"]
-    met = met.withColumns({"near": F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1]), "far": F.sqrt(reach[0] * reach[0] + reach[1] * reach[1])})
-    point = Window.partitionBy("pid")
-    upto = point.orderBy("far", "fx", "fy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = met.withColumn("held", F.sum("heads").over(upto)).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("far"))).over(point))
+    held, bound = _bound(k, "cx", "cy", "share", "pid")  # a point's boxes are in one partition already: no shuffle
+    met = _reached(met).withColumn("held", held).withColumn("bound", bound("held"))
     edges = [d for c in "xy" for d in (F.col(f"p{c}") - (F.col(f"c{c}") - 1) * F.lit(side), (F.col(f"c{c}") + 2) * F.lit(side) - F.col(f"p{c}"))]
     return met.withColumn("border", F.least(*edges)).select("pid", "px", "py", "fx", "fy", "near", "bound", "border")
 
@@ -83,20 +118,25 @@ def k_nearest(points: DataFrame, segments: DataFrame, k: int = 1, key: str = "fi
     px0, py0, px1, py1 = (v if v is not None else 0.0 for v in numbered.agg(*(f(c) for f in (F.min, F.max) for c in ("px", "py"))).first())
     span = max(x1, px1) - min(x0, px0), max(y1, py1) - min(y0, py0)
     last = max(0, math.ceil(math.log(max(*span, FIRST) / FIRST, FACTOR)))
-    left, found = numbered.select("pid", "px", "py"), []
+    left, opened, levels = numbered.select("pid", "px", "py"), [], [stage.put(_nodes(pieces), "nodes")]
     for level in range(last + 1):
-        side = FIRST * FACTOR**level
-        boxes = stage.put(_bounded(left, pieces, side, k), "boxes")
+        if level:
+            levels.append(stage.put(_parents(levels[-1]), "nodes"))
+        boxes = _bounded(left, levels[level], FIRST * FACTOR**level, k)
         # a piece of which the middle lies outside the nine cells begins half its length nearer at most
         done = "true" if level == last else f"bound <= border - {PIECE / 2}"
-        opened = boxes.where(done).where("bound is null or near <= bound").select("pid", "px", "py", "fx", "fy")
-        held = pieces.select("seg_id", "ax", "ay", "bx", "by", _cell("mx", side / FINE).alias("fx"), _cell("my", side / FINE).alias("fy"))
-        _, _, d = projected(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-        near = opened.join(held, ["fx", "fy"]).groupBy("pid", "seg_id").agg(F.min(d).alias("d"))
-        rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "seg_id"))
-        found.append(stage.put(near.withColumn("rank", rank).where(f"rank <= {k}"), "found"))
+        opened.append(stage.put(boxes.where(done).where("bound is null or near <= bound").select("pid", "px", "py", "fx", "fy", "bound"), "opened"))
         if level < last:
-            left = stage.put(left.join(boxes.where(done).select("pid").distinct(), "pid", "left_anti"), "left")
+            left = stage.put(left.join(opened[-1].select("pid").distinct(), "pid", "left_anti"), "left")
             if left.isEmpty():
                 break
-    return numbered.select("pid", key).join(reduce(DataFrame.unionByName, found), "pid").select(key, "rank", "seg_id", "d")
+    front = opened.pop()
+    while opened:
+        own = opened.pop()
+        front = own.unionByName(stage.put(_opened(front, levels[len(opened)], k), "front"))
+    held = pieces.select("seg_id", "ax", "ay", "bx", "by", _cell("mx", FIRST / FINE).alias("fx"), _cell("my", FIRST / FINE).alias("fy"))
+    _, _, d = projected(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
+    near = front.join(held, ["fx", "fy"]).withColumn("d", d).groupBy("pid", "seg_id").agg(F.min("d").alias("d"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "seg_id"))
+    found = near.withColumn("rank", rank).where(f"rank <= {k}")
+    return numbered.select("pid", key).join(found, "pid").select(key, "rank", "seg_id", "d")
