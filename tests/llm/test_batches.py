@@ -1,0 +1,32 @@
+"""A worker is sent few blocks at once, however many its task reads."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from waymark.llm import interpolation
+
+
+def test_blocks_come_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    seen, real = f"{tmp_path}/seen", interpolation._request
+
+    def counting(order, ranges):
+        run = real(order, ranges)
+
+        def counted(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(json.dumps(batch.num_rows) + "\n")
+                yield from run(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(interpolation, "_request", counting)
+    docs = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id % 7, ' '), 10)").alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = interpolation.interpolated_scores(docs)
+    assert got.count() == 100 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    rows = [json.loads(line) for line in open(seen)]
+    assert sum(rows) == 3 and max(rows) <= interpolation.BLOCKS_PER_BATCH  # a block of each part

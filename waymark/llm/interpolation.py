@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.text import U64, as_bytes, mix, word_hashes
@@ -32,6 +33,8 @@ from waymark.plans.staging import Stage
 
 #: Bytes of text per block and per hash range (what a worker holds at once), and the least number of tasks and of ranges.
 BLOCK_BYTES, RANGE_BYTES, LEAST_TASKS, LEAST_RANGES = 12_000_000, 24_000_000, 40, 32
+#: Blocks that a worker is sent at once: a task reads more files the larger the corpus is, and by default they would all come in one batch.
+BLOCKS_PER_BATCH = 2
 #: Steps per factor of two in which the deleted part's estimates are counted, so
 #: the histogram that EM reads has at most buckets * cells ** order rows.
 CELLS = 4
@@ -246,6 +249,18 @@ def _score(order: int, n: float, v: float, weights: np.ndarray):
     return run
 
 
+@contextmanager
+def _rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs that run inside send ``n`` rows at most to a worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """Score whole texts under an interpolated ``order``-gram model of the corpus.
 
@@ -269,7 +284,8 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     blocks = stage.put(docs.mapInArrow(_blocks, _BLOCK), "blocks")
 
     requests = blocks.select("block", "part", "texts").mapInArrow(_request(order, ranges), _REQUEST)
-    answers = stage.put(requests.groupBy("level", "rng").applyInPandas(_answer, _ANSWER), "answers")
+    with _rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+        answers = stage.put(requests.groupBy("level", "rng").applyInPandas(_answer, _ANSWER), "answers")
     n, v, n_rest, v_rest = (x or 0.0 for x in answers.agg(*(F.sum(c) for c in ("n", "v", "n_rest", "v_rest"))).first())
 
     def meet(blocks: DataFrame, answers: DataFrame, column: str):
