@@ -28,10 +28,15 @@ def id_query(c: Column) -> Column:
     return F.when(cleaned.rlike(r"^[A-Z]{1,4}[0-9]+$"), cleaned)
 
 
+def unspaced(c: Column) -> Column:
+    r"""Text without the characters of ``\s``."""
+    return F.translate(c, " \t\n\x0b\f\r", "")
+
+
 def code_number(c: Column) -> Column:
     """Number of a code of two to four digits with an optional letter; null for anything else."""
-    cleaned = F.upper(F.regexp_replace(c, r"\s+", ""))
-    return F.regexp_extract(cleaned, r"^([0-9]{2,4})[A-Z]?$", 1).try_cast("int")
+    cleaned = F.upper(unspaced(c))
+    return empty_to_null(F.regexp_extract(cleaned, r"^([0-9]{2,4})[A-Z]?$", 1)).try_cast("int")  # a cast that fails costs an exception
 
 
 def bracketed_json(c: Column, schema: str) -> Column:

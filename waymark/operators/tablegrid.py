@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.text import code_number
+from waymark.functions.text import code_number, unspaced
 
 # Gap of a cluster of column lines, gap of a row from its first rule,
 # share of a column that rules must cover, width bounds of a number column.
@@ -84,12 +84,12 @@ def cells(rules: DataFrame) -> DataFrame:
 def gated_codes(tokens: DataFrame, sheets: DataFrame) -> DataFrame:
     """The first token of each cell that is a code within its sheet's range, with prefix and a warning where numbers fall."""
     own = tokens.join(sheets, "page")
-    numbers = F.transform("tokens", lambda t: F.struct(F.upper(F.regexp_replace(t, r"\s+", "")).alias("t"), code_number(t).alias("n")))
-    fit = F.filter(numbers, lambda r: r["n"].between(F.col("lo"), F.col("hi")))
-    got = own.withColumn("_f", F.when(F.size(fit) > 0, fit[0])).where("_f is not null")
-    got = got.select("page", "col", "row", "grp", F.concat("prefix", "_f.t").alias("code"), F.col("_f.n").alias("n"))
-    before = F.lag("n").over(Window.partitionBy("page", "col").orderBy("row"))
-    return got.withColumn("falls", F.coalesce(F.col("n") < before, F.lit(False)))
+    numbers = F.transform("tokens", lambda t: F.struct(F.upper(unspaced(t)).alias("t"), code_number(t).alias("n")))
+    fit = F.get(F.filter(numbers, lambda r: r["n"].between(F.col("lo"), F.col("hi"))), F.lit(0))
+    got = own.select("page", "col", "row", "grp", "prefix", fit.alias("_f")).select("page", "col", "row", "grp", F.concat("prefix", "_f.t").alias("code"), F.col("_f.n").alias("n"))
+    # cells without a code leave after the window: a filter before it would be pushed down and read the tokens twice
+    before = F.last("n", ignorenulls=True).over(Window.partitionBy("page", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    return got.withColumn("falls", F.coalesce(F.col("n") < before, F.lit(False))).where("n is not null")
 
 
 def large_enough(pictures: DataFrame) -> DataFrame:

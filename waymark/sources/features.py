@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.functions.text import empty_to_null
+
 # The layers with file, category, geometry, label and whether they are tiled.
 LAYERS = [
     ("DTAD_TS_POLE_PT", "traffic-sign-pole", "point", "Traffic sign pole", True),
@@ -116,7 +118,7 @@ def attribute(name: str, kind: str = "string") -> Column:
 
 def numbers(c: Column) -> Column:
     """The white-space separated numbers of a text."""
-    return F.transform(F.split(F.trim(c), r"\s+"), lambda v: v.try_cast("double"))
+    return F.transform(F.split(F.trim(c), r"\s+"), lambda v: empty_to_null(v).try_cast("double"))  # a cast that fails costs an exception
 
 
 def point_features(members: DataFrame) -> DataFrame:
@@ -169,16 +171,19 @@ def drawn_rules(pages: DataFrame) -> DataFrame:
     """
     path = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<(stroke_path|fill_path)\b[^>]*>.*?</\1>"), F.lit(0)))
     m = numbers(F.regexp_extract("p", r'^[^>]*transform="([^"]+)"', 1))
-    step = r'<(moveto|lineto) x="([-0-9.]+)" y="([-0-9.]+)"'
+    step = F.lit(r'<(moveto|lineto) x="([-0-9.]+)" y="([-0-9.]+)"')
+    op, *xy = (F.regexp_extract_all("p", step, F.lit(i)) for i in (1, 2, 3))
+    x, y = (F.transform(v, lambda t: t.cast("double")) for v in xy)
 
     def placed(t: Column) -> Column:
-        x, y = (F.regexp_extract(t, step, i).cast("double") for i in (2, 3))
         known = F.size("m") == 6
-        at = [F.when(known, F.col("m")[i] * x + F.col("m")[i + 2] * y + F.col("m")[i + 4]).otherwise(v) for i, v in ((0, x), (1, y))]
-        return F.struct(F.regexp_extract(t, step, 1).alias("op"), at[0].alias("x"), at[1].alias("y"))
+        at = [F.when(known, F.col("m")[i] * t["x"] + F.col("m")[i + 2] * t["y"] + F.col("m")[i + 4]).otherwise(t[v]) for i, v in ((0, "x"), (1, "y"))]
+        return F.struct(t["op"].alias("op"), at[0].alias("x"), at[1].alias("y"))
 
-    points = pages.select("page", path.alias("p")).select("page", "p", m.alias("m")).select("page", F.transform(F.regexp_extract_all("p", F.lit(step), F.lit(0)), placed).alias("a"))
-    pairs = points.where("size(a) > 1").select("page", F.inline(F.expr("zip_with(slice(a, 1, size(a) - 1), slice(a, 2, size(a) - 1), (q, r) -> struct(q, r))")))
+    # no filter on what the expressions give: it would be pushed below them and evaluate them twice
+    drawn = pages.select("page", path.alias("p")).select("page", m.alias("m"), F.arrays_zip(op.alias("op"), x.alias("x"), y.alias("y")).alias("t"))
+    points = drawn.select("page", F.transform("t", placed).alias("a"))
+    pairs = points.select("page", F.inline(F.expr("zip_with(slice(a, 1, greatest(size(a) - 1, 0)), slice(a, 2, greatest(size(a) - 1, 0)), (q, r) -> struct(q, r))")))
     dx, dy = (F.abs(F.col(f"r.{c}") - F.col(f"q.{c}")) for c in "xy")
     kind = F.when((dy < STRAIGHT) & (dx > LEAST_ACROSS), "h").when((dx < STRAIGHT) & (dy > LEAST_DOWN), "v")
     rules = pairs.where("r.op = 'lineto'").withColumn("kind", kind).where("kind is not null")
