@@ -245,3 +245,34 @@ def test_pii_sample_is_not_swamped_by_repeats(spark):
     docs = [(i, "no 4785380592391139 here") for i in range(3000)] + [(5000 + i, f"mail a{i}@mail.example.org and {10**7 + i * 7919} units") for i in range(60)]
     rows = pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(rows) == 3060 and sum(r["n_email"] for r in rows) == 60
+
+
+def test_op10_learns_from_every_candidate(spark, monkeypatch):
+    """With far more distinct vectors than rows to learn from, each class and shape still weighs what all texts hold."""
+    r = np.random.default_rng(21)
+    docs = [f"{_drawn(r, 'etaoinshrdlu', int(r.integers(1, 30)))}@{_drawn(r, 'etaoin', int(r.integers(2, 20)))}.example.org" for _ in range(500)]
+    docs += [f"sum {_drawn(r, '123456789', int(r.integers(7, 13)))}{_drawn(r, ' ,x-', 1)} of {_drawn(r, 'etaoin', 5)}" for _ in range(900)]
+    docs += [f"version {a}.{b}.{c} is out" for a, b, c in r.integers(1, 99, (7, 3))] + [f"call +1 (649) 555-{n} now" for n in r.integers(1000, 9999, 30)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    seen = {}
+
+    class Spy(boosting.Calibrated):
+        def __init__(self, x, y, fold, precision, weight=None, group=None):
+            seen.update(x=x, y=y, weight=weight)
+            super().__init__(x, y, fold, precision, weight, group)
+
+    monkeypatch.setattr(pii, "Calibrated", Spy)
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 60)
+    assert pii.learn_redaction(df) is not None
+    expected = {}
+    for text in docs:
+        base = pii.base_spans(text)
+        real, cover = {(a, b) for _, a, b in base}, pii.Cover(base)
+        for a, b in pii.candidates(text):
+            if (a, b) in real or not cover.touches(a, b):
+                key = ((a, b) in real, int(pii.shapes(np.array([pii.features(text, a, b)]))[0]))
+                expected[key] = expected.get(key, 0) + 1
+    got = {}
+    for y, shape, n in zip(seen["y"], pii.shapes(seen["x"]), seen["weight"], strict=True):
+        got[bool(y), int(shape)] = got.get((bool(y), int(shape)), 0) + n
+    assert got == expected and len(seen["x"]) <= 60

@@ -5,9 +5,10 @@ candidates: anything with an at sign, runs of digits with and without
 separators, dotted numbers.  Gradient-boosted trees judge a candidate by its
 format and its context, but never see the plus sign and the check digit by which
 the base patterns decide: so what looks like their spans in all else, a number
-without its plus or with a wrong digit, scores like them.  They learn from a
-bounded sample of distinct vectors, weighted by their counts: those of base spans
-against those that touch none.  Calibration on held-out candidates chooses a
+without its plus or with a wrong digit, scores like them.  They learn from all
+distinct vectors, weighted by their counts: those of base spans against those that
+touch none.  Where a kind has too many for the driver, alike ones are merged and
+their counts added, so every candidate of every text counts.  Calibration on held-out candidates chooses a
 threshold for each shape of candidate (with an at sign, dotted, like a phone
 number, plain digits) such that nearly all above it are base spans; the few others
 above it that lie outside all base spans are added as spans of kind ``likely``.
@@ -16,24 +17,26 @@ above it that lie outside all base spans are added as spans of kind ``likely``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.boosting import Calibrated
-from waymark.llm.sampling import smallest
 from waymark.llm.spans import Cover, Span, digest, joined
 from waymark.llm.text import byte_slices
 from waymark.plans.staging import Stage
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED, NONE = "likely", "none"
-#: Bound of the training sample of candidates, and the share of base spans that its held-out part must have above a threshold.
+#: Bound of the rows that the trees learn from (more vectors are merged, none left out), and the share of base spans that held-out rows must have above a threshold.
 SAMPLE_CANDIDATES, PRECISION = 20_000, 0.95
+#: Powers of two by which the bins of a feature's values are merged, at most: 32 bins to one.
+LEVELS = 5
 #: Distinct vectors that a worker counts before it sends them on.
 MOST_VECTORS = 20_000
 CONTEXT = 24
@@ -178,30 +181,71 @@ def folds(kinds: list[str], vectors: list[tuple[float, ...]]) -> np.ndarray:
     return np.array([fold[x] for x in vectors])
 
 
+def _bins(vectors: DataFrame) -> dict[tuple[str, int], tuple[list[float], list[int]]]:
+    """For each kind and feature the values at which a bin begins and the bins' numbers, 0 to 2**LEVELS - 1, by all vectors' values in order."""
+    at = Window.partitionBy("kind", "f").orderBy("v")
+    values = vectors.select("kind", F.posexplode("x").alias("f", "v")).groupBy("kind", "f", "v").agg(F.count("*").alias("c"))
+    share = (F.sum("c").over(at) - F.col("c")) / F.sum("c").over(Window.partitionBy("kind", "f"))
+    out: dict[tuple[str, int], tuple[list[float], list[int]]] = {}
+    for r in values.withColumn("bin", F.floor(share * 2**LEVELS)).groupBy("kind", "f", "bin").agg(F.min("v").alias("v")).orderBy("kind", "f", "bin").collect():
+        lows, bins = out.setdefault((r["kind"], r["f"]), ([], []))
+        lows.append(r["v"]), bins.append(r["bin"])
+    return out
+
+
+def _binned(bins: dict[tuple[str, int], tuple[list[float], list[int]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, groups = [], []
+            for kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells.append([bins[kind, f][1][bisect_right(bins[kind, f][0], v) - 1] for f, v in enumerate(x)])
+                groups.append(int(shapes(np.array([x]))[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "shape", "c"])
+
+    return run
+
+
+def merged(vectors: DataFrame, quota: dict[str, int]) -> DataFrame:
+    """``vectors(kind, x, n)`` such that a kind has its quota of rows at most: alike vectors of one shape become the most common one of them, with all their counts.
+
+    Vectors are alike if each feature is in the same bin; bins are merged by twos until a kind's cells fit.
+    """
+    stage = Stage(vectors.sparkSession, "merged")
+    binned = stage.put(vectors.mapInArrow(_binned(_bins(vectors)), "kind string, x array<double>, n long, shape int, c array<int>"), "binned")
+    levels = binned.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).select("kind", "s", "shape", F.expr("transform(c, v -> shiftright(v, s))").alias("cell"))
+    fits = {k: LEVELS for k in quota}
+    for r in levels.distinct().groupBy("kind", "s").count().orderBy(F.desc("s")).collect():
+        if r["count"] <= quota[r["kind"]]:
+            fits[r["kind"]] = r["s"]
+    shift = F.create_map(*(F.lit(v) for item in fits.items() for v in item))[F.col("kind")]
+    cells = binned.withColumn("s", shift).groupBy("kind", "shape", F.expr("transform(c, v -> shiftright(v, s))").alias("cell"))
+    return cells.agg(F.max_by("x", F.struct("n", "x")).alias("x"), F.sum("n").alias("n")).select("kind", "x", "n")
+
+
 def learn_redaction(docs: DataFrame) -> Calibrated | None:
-    """Fit on a sample of distinct vectors bounded by SAMPLE_CANDIDATES, chosen by hash and weighted; None if only one class is there.
+    """Fit on the distinct vectors of all candidates, weighted by their counts; None if only one class is there.
 
-    Half of the bound is for vectors of base spans, shared out to their kinds, half for the others.  A vector's weight
-    is its count, times what the sample leaves out of its kind.
+    The driver gets SAMPLE_CANDIDATES rows at most: half for vectors of base spans, shared
+    out to their kinds, half for the others.  A kind with more vectors is ``merged`` to its share.
     """
     half = SAMPLE_CANDIDATES // 2
     stage = Stage(docs.sparkSession, "candidates")
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_samples, "kind string, x array<double>, n long")
-    found = stage.put(found.groupBy("kind", "x").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("x")), "vectors")
+    found = stage.put(found.groupBy("kind", "x").agg(F.sum("n").alias("n")), "vectors")
     total = {r["kind"]: (r["v"], r["n"]) for r in found.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     quota = shares({k: v for k, (v, _) in total.items() if k != NONE}, half) | {NONE: half}
-    rows: dict[str, list[tuple[int, tuple[float, ...], int]]] = {}
-    for r in smallest(found, "kind", "h", half).collect():  # five kinds
-        rows.setdefault(r["kind"], []).append((r["h"], tuple(r["x"]), r["n"]))
+    large = [k for k, (v, _) in total.items() if v > quota[k]]
+    taken = found.where(~F.col("kind").isin(large)).union(merged(found.where(F.col("kind").isin(large)), {k: quota[k] for k in large})) if large else found
+    rows: dict[str, list[tuple[tuple[float, ...], int]]] = {}
+    for r in taken.select("kind", "x", "n", F.xxhash64("x").alias("h")).orderBy("h").collect():  # SAMPLE_CANDIDATES at most
+        rows.setdefault(r["kind"], []).append((tuple(r["x"]), r["n"]))
     stage.drop(found)
     if NONE not in rows or len(rows) < 2 or sum(n for _, n in total.values()) < 20:
         return None
     kinds, vectors, weight = [], [], []
     for k in sorted(rows):
-        own = sorted(rows[k])[: quota[k]]
-        scale = total[k][1] / sum(n for _, _, n in own)
-        for _, x, n in own:
-            kinds.append(k), vectors.append(x), weight.append(n * scale)
+        for x, n in rows[k]:
+            kinds.append(k), vectors.append(x), weight.append(float(n))
     y = np.array([float(k != NONE) for k in kinds])
     fold = folds(kinds, vectors)
     if len(set(y[fold == 0])) < 2:  # few vectors of each kind: every fourth of a class
@@ -266,7 +310,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     their shape's threshold) and scores (start:end:probability of every candidate, base
     spans included) say what the trees made of each.  Null text is empty; repeated
     rows and null doc_ids are rows of their own; an empty table gives no rows;
-    other columns are ignored.  Without both classes in the sample nothing is judged or added.
+    other columns are ignored.  Without both classes nothing is judged or added.
     """
     model = learn_redaction(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
