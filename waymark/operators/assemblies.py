@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import js_round
 from waymark.functions.text import blank_to_null
+from waymark.operators.nearest import face_bearings, nearest_segments
 from waymark.plans.staging import Stage
 
 # Widest span in metres; plate width, gap and offset step in pixels; rank of a group.
@@ -33,7 +34,7 @@ def assembly_spans(members: DataFrame) -> DataFrame:
     return members.groupBy("gg").agg(F.count("*").alias("stack_size"), span.alias("span"))
 
 
-def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None) -> DataFrame:
+def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Members of assemblies of two or more within the span cap, in order, with their layout.
 
     Assemblies that are too small or too wide leave before any row is ranked, so
@@ -41,19 +42,22 @@ def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None) -> D
     ``members`` has an ``ord`` column, which is returned too, else by fid.  Returns fid, gg, sign_id, stack_index,
     stack_size, pic_w, anchor_x, anchor_y, stack_bearing, stack_off and stack_tier;
     anchor, bearing (null if the first member has none) and tier are the first member's.
+    Instead of all members' ``bearings``, ``lines`` may be given: then only first members
+    are searched for their nearest line (of a fid that repeats in its assembly all places).
     """
     posts = assembly_spans(members).where((F.col("stack_size") >= 2) & (F.col("span") <= SPAN_CAP)).drop("span")
     m = members.join(posts, "gg")
     m = m.join(bearings, "fid", "left") if bearings is not None else m.withColumn("face_bearing", F.lit(None).cast("double"))
     file_order = ["ord"] if "ord" in members.columns else []
-    order = Window.partitionBy("gg").orderBy("rank", "sign_id", *file_order, "fid")
+    # the last three follow from the sign: with them both readers of m below want the same columns and share its shuffle
+    order = Window.partitionBy("gg").orderBy("rank", "sign_id", *file_order, "fid", "tier", "w", "h")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     height = F.lit(COMMON_WIDTH) * F.col("h") / F.col("w")
     m = m.withColumn("_h", height)
     index = F.row_number().over(order) - 1
     first = {c: F.first(c).over(upto) for c in ("x", "y", "face_bearing", "tier", "_h")}
     centre = F.sum("_h").over(upto) - first["_h"] / 2 + F.lit(GAP) * index - F.col("_h") / 2
-    return m.select(
+    out = m.select(
         "fid",
         "gg",
         "sign_id",
@@ -67,6 +71,11 @@ def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None) -> D
         first["tier"].alias("stack_tier"),
         *file_order,
     )
+    if lines is None:
+        return out
+    heads = m.withColumn("_first", F.first("fid").over(upto)).where(F.col("fid") == F.col("_first")).select("gg", "x", "y")
+    turned = face_bearings(nearest_segments(heads, lines, "gg"), "gg").withColumnRenamed("face_bearing", "_bearing")
+    return out.join(turned, "gg", "left").withColumn("stack_bearing", F.col("_bearing")).select(*out.columns)
 
 
 def companion_index(members: DataFrame, wanted: list[str] | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stacks(spark: SparkSession, d: str) -> DataFrame:
-    return asm.stack_assemblies(_members(spark, d), _bearings(spark, d))
+    return asm.stack_assemblies(_members(spark, d), lines=adapter.segments(spark, d))
 
 
 def _enriched(spark: SparkSession, d: str, turned: bool = True) -> DataFrame:
