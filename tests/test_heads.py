@@ -1,4 +1,4 @@
-"""Only first members of assemblies are searched for their line."""
+"""Only first members of assemblies are searched for their line, and coverage only asks whether a line is near."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ def test_stacks_are_not_shuffled_by_feature(spark):
     assert "hashpartitioning(gg" in plan and "hashpartitioning(fid" not in plan
 
 
+def test_coverage_ranks_nothing(spark):
+    plan = _plan(registry.QUERIES["bearing_coverage"](spark, SMALL))
+    assert "LeftSemi" in plan and "Window" not in plan
+
+
 def _scene(spark):
     r = random.Random(3)
     lines = [(i, x := r.uniform(-300, 300), y := r.uniform(-300, 300), x + r.uniform(-1, 1) * 10 ** r.uniform(0, 2.5), y + r.uniform(-1, 1) * 10 ** r.uniform(0, 2.5)) for i in range(60)]
@@ -40,6 +45,7 @@ def test_cells_miss_no_line(spark):
                 best[fid] = min(best.get(fid, (d, seg)), (d, seg))
     got = {r["fid"]: r["seg_id"] for r in nearest.nearest_segments(points, lines).collect()}
     assert got == {k: v[1] for k, v in best.items()}
+    assert sorted(r["fid"] for r in nearest.near_segments(points, lines).collect()) == sorted(best)
 
 
 def test_lines_give_the_bearings_of_first_members(spark):

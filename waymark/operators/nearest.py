@@ -65,6 +65,13 @@ def nearest_segments(points: DataFrame, segments: DataFrame, key: str = "fid") -
     return near.where(F.col("d") < RADIUS).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def near_segments(points: DataFrame, segments: DataFrame, key: str = "fid") -> DataFrame:
+    """The distinct keys of points that have a segment closer than RADIUS; a point's search ends at the first one, as none is ranked."""
+    probe, listed = _probe(points, key).alias("p"), _listed(segments.select("ax", "ay", "bx", "by")).alias("s")
+    near = (F.col("p.gx") == F.col("s.gx")) & (F.col("p.gy") == F.col("s.gy")) & (_projected()[2] < RADIUS)
+    return probe.join(listed, near, "left_semi").select(key).distinct()
+
+
 def face_bearings(nearest: DataFrame, key: str = "fid") -> DataFrame:
     """key and face_bearing in tenths of a degree: the line's bearing, turned round on its right side and on it."""
     dx, dy = F.col("dx"), F.col("dy")
