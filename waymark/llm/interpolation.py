@@ -8,30 +8,37 @@ weights are learned by expectation-maximisation on the counts of a deleted part
 the training documents against the counts of the rest; scoring then uses all counts.
 
 Texts are gathered into blocks of bounded size, whatever repeats, and the blocks
-are written once.  A block sends its distinct n-grams (sorted hashes and counts) to
-hash ranges, a range adds up what all blocks sent and answers each block in the
-order of its request, so an answer needs no keys.  Only messages with n-grams are
-sent: never more rows than blocks times ranges, nor more than the blocks have
-n-grams.  Nothing that grows with the corpus reaches the driver or one task.
+are written once, in pieces, as Spark copies a row whole at each step.  A block
+sends its distinct n-grams (sorted hashes and counts) to hash ranges, a range adds up
+what all blocks sent and answers each block in the order of its request, so an answer
+needs no keys.  Only messages with n-grams are sent: never more rows than blocks times
+ranges, nor more than the blocks have n-grams.  A block whose pieces are read by
+several tasks asks once for each run of pieces.  Nothing that grows with the corpus
+reaches the driver or one task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.text import U64, as_bytes, mix, word_hashes
+from waymark.llm.text import U64, as_bytes, give_back, mix, word_hashes
 from waymark.plans.staging import Stage
 
 #: Bytes of text per block and per hash range (what a worker holds at once), and the least number of tasks and of ranges.
 BLOCK_BYTES, RANGE_BYTES, LEAST_TASKS, LEAST_RANGES = 12_000_000, 24_000_000, 40, 32
+#: Bytes of text in a row of a block, and of n-grams in a batch that a worker returns.
+PIECE_BYTES = 1_000_000
+#: Bytes that go to a worker at once and pieces that are read at once; Spark's own limits (64 MB, 4,096 rows) would take all that a task reads.
+SENT_BYTES, READ_PIECES = 4_000_000, 4
 #: Steps per factor of two in which the deleted part's estimates are counted, so
 #: the histogram that EM reads has at most buckets * cells ** order rows.
 CELLS = 4
@@ -41,48 +48,77 @@ BUCKETS = 64
 START, END = U64(0x51A7E0000000001D), U64(0xE9D000000000002B)
 TEST, TRAIN, DELETED = 0, 1, 2
 
-_BLOCK = "block long, part int, ids array<string>, texts array<string>"
-_REQUEST = "level int, rng int, block long, part int, keys binary, counts binary"
-_ANSWER = "block long, part int, level int, rng int, counts binary, rest binary, n double, v double, n_rest double, v_rest double"
+_BLOCK = "block long, piece int, part int, ids array<string>, texts array<string>"
+# run: the first of the block's pieces that ask together
+_REQUEST = "level int, rng int, block long, run int, part int, keys binary, counts binary"
+_ANSWER = "block long, run int, part int, level int, rng int, counts binary, rest binary, n double, v double, n_rest double, v_rest double"
 _CELLS = "cell array<int>, n long"
-# ids travel as text through pandas, which would round large ones beside a null
 _SCORE = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    """Columns, each a list or an array, under the names and types of ``schema``."""
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _batches(schema: str, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of PIECE_BYTES of their binary columns, or one row more."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= PIECE_BYTES:
+            yield _batch(schema, list(zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield _batch(schema, list(zip(*held, strict=True)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part gathered up to BLOCK_BYTES; a longer text is a block of its own."""
+    """Rows of one part gathered up to BLOCK_BYTES, in pieces that follow each other; a longer text is a block of its own."""
     first = TaskContext.get().partitionId() << 32
     made = 0
     held: dict[int, tuple[list, list]] = {}
     size: dict[int, int] = {}
 
-    def flush(part: int) -> pa.RecordBatch:
+    def flush(part: int) -> Iterator[pa.RecordBatch]:
         nonlocal made
         ids, texts = held.pop(part)
         made += 1
-        columns = [pa.array([first + made]), pa.array([part], pa.int32()), pa.array([ids], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, ["block", "part", "ids", "texts"])
+        ends = np.cumsum([len(t or "") + 1 for t in texts])
+        at = piece = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, "right")))
+            yield _batch(_BLOCK, [[first + made], [piece], [part], [ids[at:to]], [texts[at:to]]])
+            at, piece = to, piece + 1
 
     for batch in batches:
         for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = len(text or "")
             if part in held and size[part] + n > BLOCK_BYTES:
-                yield flush(part)
+                yield from flush(part)
             ids, texts = held.setdefault(part, ([], []))
             ids.append(doc_id), texts.append(text)
             size[part] = n if len(ids) == 1 else size[part] + n
     for part in sorted(held):
-        yield flush(part)
+        yield from flush(part)
+    give_back()
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Integers as byte planes: high planes are zeros, which the shuffle's compression removes."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Integers as the number of byte planes that are not all zeros, and these planes."""
+    used = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([used]) + values.view(np.uint8).reshape(len(values), -1)[:, :used].T.tobytes()
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+def _unpack(data: pa.BinaryScalar) -> np.ndarray:
+    data = np.frombuffer(data.as_buffer(), np.uint8)
+    planes = data[1:].reshape(data[0], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.reshape(-1).view(U64)
 
 
 def ngrams(texts: list, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -105,62 +141,95 @@ def ngrams(texts: list, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [g if k == 0 else g >> U64(8) for k, g in enumerate(grams)], first
 
 
-def _cuts(keys: np.ndarray, level: int, ranges: int) -> np.ndarray:
+def _bounds(level: int, ranges: int) -> np.ndarray:
+    """The least key of every hash range."""
     shift = (64 if level == 1 else 56) - ranges.bit_length() + 1
-    return np.searchsorted(keys >> U64(shift), np.arange(ranges + 1, dtype=U64))
+    return np.arange(ranges, dtype=U64) << U64(shift)
+
+
+def _messages(grams: list[list[np.ndarray]], block: int, run: int, part: int, ranges: int) -> Iterator[tuple]:
+    for level in range(1, len(grams[0]) + 1):
+        keys, counts = np.unique(np.concatenate([g[level - 1] for g in grams]), return_counts=True)
+        counts = counts.astype(np.uint32)
+        bounds = _bounds(level, ranges)
+        cuts = np.append(np.searchsorted(keys, bounds), len(keys))
+        for rng in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[rng], cuts[rng + 1]
+            yield level, rng, block, run, part, _pack(np.diff(keys[a:b], prepend=bounds[rng])), _pack(counts[a:b])
 
 
 def _request(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        first = last = (0, 0, 0)  # block, piece and part of the pieces held
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from _batches(_REQUEST, _messages(held, *first, ranges))
+            held.clear()
+            give_back()
+
         for batch in batches:
-            for at in range(batch.num_rows):
-                block, part = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                texts = batch.column(2)[at].as_py()
-                for level, grams in enumerate(ngrams(texts, order)[0], 1):
-                    keys, counts = np.unique(grams, return_counts=True)
-                    counts = counts.astype(np.uint32)
-                    cuts = _cuts(keys, level, ranges)
-                    own = np.flatnonzero(np.diff(cuts))
-                    packed = [(_pack(np.diff(keys[a:b], prepend=U64(0))), _pack(counts[a:b])) for a, b in zip(cuts[own], cuts[own + 1], strict=True)]
-                    n = len(own)
-                    columns = [pa.array([level] * n, pa.int32()), pa.array(own, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([part] * n, pa.int32())]
-                    columns += [pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["level", "rng", "block", "part", "keys", "counts"])
+            for row in range(batch.num_rows):
+                block, piece, part, texts = (batch.column(c)[row].as_py() for c in ("block", "piece", "part", "texts"))
+                if held and (block, piece) != (last[0], last[1] + 1):
+                    yield from flush()
+                last = (block, piece, part)
+                first = first if held else last
+                held.append(ngrams(texts, order)[0])
+        if held:
+            yield from flush()
 
     return run
 
 
-def _answer(g: pd.DataFrame) -> pd.DataFrame:
-    level, rng = int(g["level"].iat[0]), int(g["rng"].iat[0])
-    keys = [np.cumsum(_unpack(k, U64), dtype=U64) for k in g["keys"]]
-    counts = np.concatenate([_unpack(c, np.uint32) for c in g["counts"]])
-    sizes = [len(k) for k in keys]
-    part = np.repeat(g["part"].to_numpy(), sizes)
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.where(part == TEST, 0, counts), len(distinct)).astype(U64)
-    rest = np.bincount(inverse, np.where(part == TRAIN, counts, 0), len(distinct)).astype(U64)
-    real = distinct != START if level == 1 else np.zeros(len(distinct), bool)
-    sums = [float(total[real].sum(dtype=np.int64)), float((total[real] > 0).sum()), float(rest[real].sum(dtype=np.int64)), float((rest[real] > 0).sum())]
-    rows, at = [], 0
-    for block, p, size in zip(g["block"], g["part"], sizes, strict=True):
-        own = inverse[at : at + size]
-        rows.append((block, p, level, rng, _pack(total[own]), _pack(rest[own]) if p == DELETED else None, *(sums if at == 0 else [0.0] * 4)))
-        at += size
-    return pd.DataFrame(rows, columns=["block", "part", "level", "rng", "counts", "rest", "n", "v", "n_rest", "v_rest"])
-
-
-def _looked_up(texts: list, answers: pd.DataFrame, column: str, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The count of the k-gram at every place, from the answers to this block's request."""
-    grams, first = ngrams(texts, order)
-    counts = []
-    for level, g in enumerate(grams, 1):
-        distinct, inverse = np.unique(g, return_inverse=True)
-        own = answers[answers["level"] == level].sort_values("rng")[column]
-        found = np.concatenate([_unpack(c, U64) for c in own])
-        if len(found) != len(distinct):
-            raise RuntimeError(f"block has {len(distinct)} {level}-grams and {len(found)} answers")
-        counts.append(found[inverse].astype(np.float64))
-    return counts, first
+def _answer(ranges: int):
+    def run(g: pa.Table) -> pa.Table:
+        level, rng = g["level"][0].as_py(), g["rng"][0].as_py()
+        least = _bounds(level, ranges)[rng]
+        keys = [np.cumsum(_unpack(k), dtype=U64) for k in g["keys"]]
+        sizes = [len(k) for k in keys]
+        distinct, inverse = np.unique(np.concatenate(keys) + least, return_inverse=True)
+        del keys
+        counts = np.concatenate([_unpack(c).astype(np.uint32) for c in g["counts"]])
+        part = np.repeat(g["part"].to_numpy(), sizes)
+        total = np.bincount(inverse, np.where(part == TEST, 0, counts), len(distinct)).astype(U64)
+        rest = np.bincount(inverse, np.where(part == TRAIN, counts, 0), len(distinct)).astype(U64)
+        del counts, part
+        real = distinct != START if level == 1 else np.zeros(len(distinct), bool)
+        sums = [float(total[real].sum(dtype=np.int64)), float((total[real] > 0).sum()), float(rest[real].sum(dtype=np.int64)), float((rest[real] > 0).sum())]
+
+        def rows() -> Iterator[tuple]:
+            at = 0
+            for block, first, p, size in zip(*(g[c].to_pylist() for c in ("block", "run", "part")), sizes, strict=True):
+                own = inverse[at : at + size]
+                yield block, first, p, level, rng, _pack(total[own]), _pack(rest[own]) if p == DELETED else None, *(sums if at == 0 else [0.0] * 4)
+                at += size
+
+        answers = pa.Table.from_batches(list(_batches(_ANSWER, rows())))
+        give_back()
+        return answers
+
+    return run
+
+
+def _looked_up(docs: pa.Table, answers: pa.Table, order: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """For each piece of a block its row, the count of the k-gram at every place, from the answers to the block's requests, and each text's first place."""
+    pieces = docs["piece"].to_numpy()
+    by_piece = np.argsort(pieces)
+    run, level, rng = (answers[c].to_numpy() for c in ("run", "level", "rng"))
+    asked = np.unique(run)
+    for a, rows in zip(asked, np.split(by_piece, np.searchsorted(pieces[by_piece], asked[1:])), strict=True):
+        grams, firsts = zip(*(ngrams(docs["texts"][int(row)].as_py(), order) for row in rows), strict=True)
+        keys, found = [], []
+        for k in range(order):
+            keys.append(np.unique(np.concatenate([g[k] for g in grams])))
+            own = np.flatnonzero((run == a) & (level == k + 1))
+            found.append(np.concatenate([_unpack(answers["counts"][int(i)]) for i in own[np.argsort(rng[own])]]))
+            if len(found[k]) != len(keys[k]):
+                raise RuntimeError(f"block has {len(keys[k])} {k + 1}-grams and {len(found[k])} answers")
+        for row, own, first in zip(rows.tolist(), grams, firsts, strict=True):
+            yield row, [f[np.searchsorted(d, g)].astype(np.float64) for f, d, g in zip(found, keys, own, strict=True)], first
+    give_back()
 
 
 def _estimates(counts: list[np.ndarray], first: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,13 +249,15 @@ def _estimates(counts: list[np.ndarray], first: np.ndarray, n: float) -> tuple[n
 
 
 def _histogram(order: int, n_rest: float):
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"cell": [], "n": []})
-        _, p, bucket = _estimates(*_looked_up(list(docs["texts"].iat[0]), answers, "rest", order), n_rest)
-        cells = np.where(p > 0, np.rint(-np.log2(np.where(p > 0, p, 1)) * CELLS), -1).astype(np.int32)
-        cells, n = np.unique(np.vstack([bucket.astype(np.int32), cells]), axis=1, return_counts=True)
-        return pd.DataFrame({"cell": list(cells.T), "n": n})
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for _, counts, first in _looked_up(docs, answers, order):
+            _, p, bucket = _estimates(counts, first, n_rest)
+            cells = np.where(p > 0, np.rint(-np.log2(np.where(p > 0, p, 1)) * CELLS), -1).astype(np.int32)
+            cells, n = np.unique(np.vstack([bucket.astype(np.int32), cells]), axis=1, return_counts=True)
+            for cell, m in zip(cells.T.tolist(), n.tolist(), strict=True):
+                total[tuple(cell)] += m
+        return pa.Table.from_batches([_batch(_CELLS, [list(total), list(total.values())])])
 
     return run
 
@@ -221,31 +292,44 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, v: float) -> np.ndarray:
 
 
 def _score(order: int, n: float, v: float, weights: np.ndarray):
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame(columns=[c.split()[0] for c in _SCORE.split(", ")])
-        counts, first = _looked_up(list(docs["texts"].iat[0]), answers, "counts", order)
-        at, p, bucket = _estimates(counts, first, n)
-        own = counts[0][at]
-        chance = weights[bucket, order] / (v + 1)
-        for k in range(order):
-            chance = chance + weights[bucket, k] * p[k]
-        begin = first - np.arange(len(first))  # the start places are left out of ``at``
-        return pd.DataFrame(
-            {
-                "doc_id": list(docs["ids"].iat[0]),
-                "held_out": docs["part"].iat[0] == TEST,
-                "n_tokens": np.diff(np.append(begin, len(at))),
-                "n_known": np.add.reduceat((own > 0).astype(np.int64), begin),
-                "train_tokens": int(n),
-                "base_score": np.add.reduceat(np.log10((own + 0.5) / (n + 0.5 * (v + 1))), begin),
-                "score": np.add.reduceat(np.log10(chance), begin),
-            }
-        )
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        scored = []
+        for row, counts, first in _looked_up(docs, answers, order):
+            at, p, bucket = _estimates(counts, first, n)
+            own = counts[0][at]
+            chance = weights[bucket, order] / (v + 1)
+            for k in range(order):
+                chance = chance + weights[bucket, k] * p[k]
+            begin = first - np.arange(len(first))  # the start places are left out of ``at``
+            columns = [
+                docs["ids"][row].as_py(),
+                np.full(len(first), docs["part"][row].as_py() == TEST),
+                np.diff(np.append(begin, len(at))),
+                np.add.reduceat((own > 0).astype(np.int64), begin),
+                np.full(len(first), int(n)),
+                np.add.reduceat(np.log10((own + 0.5) / (n + 0.5 * (v + 1))), begin),
+                np.add.reduceat(np.log10(chance), begin),
+            ]
+            scored.append(_batch(_SCORE, columns))
+        return pa.Table.from_batches(scored)
 
     return run
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: int) -> Iterator[None]:
+    """Jobs that run inside have these settings of ``spark.sql``, with ``__`` for a dot."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """Score whole texts under an interpolated ``order``-gram model of the corpus.
 
@@ -258,7 +342,8 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     Repeated rows are separate documents.  An empty table gives no rows; a corpus
     without training documents gives every token the uniform share.
     """
-    stage = Stage(docs.sparkSession, "interpolation")
+    spark = docs.sparkSession
+    stage = Stage(spark, "interpolation")
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, 1 << math.ceil(math.log2(max(1, order * size / RANGE_BYTES))))
@@ -266,19 +351,26 @@ def interpolated_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     docs = docs.withColumn("part", F.when(rest == 1, TEST).when(rest == 0, DELETED).otherwise(TRAIN).cast("int"))
     # small input partitions are read together, so that blocks are full
     docs = docs.coalesce(max(LEAST_TASKS, math.ceil(size / (4 * BLOCK_BYTES))))
-    blocks = stage.put(docs.mapInArrow(_blocks, _BLOCK), "blocks")
+    with _settings(spark, execution__arrow__maxBytesPerBatch=SENT_BYTES):
+        blocks = stage.put(docs.mapInArrow(_blocks, _BLOCK), "blocks")
+    with _settings(spark, execution__arrow__maxBytesPerBatch=SENT_BYTES, parquet__columnarReaderBatchSize=READ_PIECES):
+        scored = _scored(stage, blocks, order, ranges)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    requests = blocks.select("block", "part", "texts").mapInArrow(_request(order, ranges), _REQUEST)
-    answers = stage.put(requests.groupBy("level", "rng").applyInPandas(_answer, _ANSWER), "answers")
+
+def _scored(stage: Stage, blocks: DataFrame, order: int, ranges: int) -> DataFrame:
+    requests = blocks.drop("ids").mapInArrow(_request(order, ranges), _REQUEST)
+    answers = stage.put(requests.groupBy("level", "rng").applyInArrow(_answer(ranges), _ANSWER), "answers")
     n, v, n_rest, v_rest = (x or 0.0 for x in answers.agg(*(F.sum(c) for c in ("n", "v", "n_rest", "v_rest"))).first())
 
     def meet(blocks: DataFrame, answers: DataFrame, column: str):
-        answers = answers.select("block", "level", "rng", column)
+        answers = answers.select("block", "run", "level", "rng", F.col(column).alias("counts"))
         return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
     deleted = meet(blocks.where(f"part = {DELETED}").drop("ids"), answers.where(f"part = {DELETED}"), "rest")
-    cells = deleted.applyInPandas(_histogram(order, n_rest), _CELLS).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = deleted.applyInArrow(_histogram(order, n_rest), _CELLS).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     listed = np.stack(cells["cell"].to_numpy()).astype(int) if len(cells) else np.empty((0, order + 1), int)
     weights = learn_weights(listed, cells["n"].to_numpy(float), v_rest)
-    scored = meet(blocks, answers, "counts").applyInPandas(_score(order, n, v, weights), _SCORE)
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    scored = stage.put(meet(blocks, answers, "counts").applyInArrow(_score(order, n, v, weights), _SCORE), "scores")
+    stage.drop(blocks, answers)
+    return scored
