@@ -20,7 +20,6 @@ reaches the driver or one task.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -212,6 +211,14 @@ def _answer(ranges: int):
     return run
 
 
+def _each(keys: np.ndarray, found: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The count of every n-gram; sorted ones are found several times faster."""
+    order = np.argsort(grams)
+    counts = np.empty(len(grams))
+    counts[order] = found[np.searchsorted(keys, grams[order])]
+    return counts
+
+
 def _looked_up(docs: pa.Table, answers: pa.Table, order: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """For each piece of a block its row, the count of the k-gram at every place, from the answers to the block's requests, and each text's first place."""
     pieces = docs["piece"].to_numpy()
@@ -228,7 +235,7 @@ def _looked_up(docs: pa.Table, answers: pa.Table, order: int) -> Iterator[tuple[
             if len(found[k]) != len(keys[k]):
                 raise RuntimeError(f"block has {len(keys[k])} {k + 1}-grams and {len(found[k])} answers")
         for row, own, first in zip(rows.tolist(), grams, firsts, strict=True):
-            yield row, [f[np.searchsorted(d, g)].astype(np.float64) for f, d, g in zip(found, keys, own, strict=True)], first
+            yield row, [_each(*x) for x in zip(keys, found, own, strict=True)], first
     give_back()
 
 
@@ -250,14 +257,15 @@ def _estimates(counts: list[np.ndarray], first: np.ndarray, n: float) -> tuple[n
 
 def _histogram(order: int, n_rest: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        total: Counter = Counter()
+        listed, ns = [], []
         for _, counts, first in _looked_up(docs, answers, order):
             _, p, bucket = _estimates(counts, first, n_rest)
             cells = np.where(p > 0, np.rint(-np.log2(np.where(p > 0, p, 1)) * CELLS), -1).astype(np.int32)
             cells, n = np.unique(np.vstack([bucket.astype(np.int32), cells]), axis=1, return_counts=True)
-            for cell, m in zip(cells.T.tolist(), n.tolist(), strict=True):
-                total[tuple(cell)] += m
-        return pa.Table.from_batches([_batch(_CELLS, [list(total), list(total.values())])])
+            listed.append(cells), ns.append(n)
+        cells, at = np.unique(np.hstack(listed), axis=1, return_inverse=True)
+        n = np.bincount(at.reshape(-1), np.concatenate(ns)).astype(np.int64)
+        return pa.Table.from_batches([_batch(_CELLS, [list(cells.T), n])])
 
     return run
 
