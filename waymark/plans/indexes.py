@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.operators.gramindex import HAN, LATIN, expanded, gram_index
+from waymark.operators.gramindex import gram_index
 from waymark.operators.search import search_index
 from waymark.plans import adapter
 from waymark.plans.registry import _C, query
@@ -14,10 +14,9 @@ _NEEDLES = "SELECT p_partkey AS query, CASE p_partkey % 4 WHEN 0 THEN concat('ts
 
 @query(f"WITH {_C}, q AS ({_NEEDLES}) SELECT q.query, c.code FROM q JOIN c ON contains(lower(concat(c.code, ' ', c.en)), q.needle) OR contains(c.zh, q.needle)")
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Many searches at once, in both languages, through indexes of trigrams and of pairs of characters."""
+    """Many searches at once, in both languages, through an index of both texts of each code."""
     c = adapter.catalogue(spark, d)
-    index = search_index(c, c)
+    texts = search_index(c, c).selectExpr("code id", "explode(array(haystack, zh)) text")
     spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("waymark_part")
     needles = spark.sql(_NEEDLES.replace("FROM part", "FROM waymark_part"))
-    found = [gram_index(index.selectExpr("code id", f"{column} text"), n).matches(needles) for column, n in (("haystack", LATIN), ("zh", HAN))]
-    return expanded(needles, found[0].unionByName(found[1]).distinct()).withColumnRenamed("id", "code")  # a query has one needle
+    return gram_index(texts).search(needles).withColumnRenamed("id", "code")  # a query has one needle
