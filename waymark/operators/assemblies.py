@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import js_round
 from waymark.functions.text import blank_to_null
-from waymark.operators.nearest import face_bearings, nearest_segments
+from waymark.operators.nearest import nearest_bearings
 from waymark.plans.staging import Stage
 
 # Widest span in metres; plate width, gap and offset step in pixels; rank of a group.
@@ -74,7 +74,7 @@ def stack_assemblies(members: DataFrame, bearings: DataFrame | None = None, line
     if lines is None:
         return out
     heads = m.withColumn("_first", F.first("fid").over(upto)).where(F.col("fid") == F.col("_first")).select("gg", "x", "y")
-    turned = face_bearings(nearest_segments(heads, lines, "gg"), "gg").withColumnRenamed("face_bearing", "_bearing")
+    turned = nearest_bearings(heads, lines, "gg").withColumnRenamed("face_bearing", "_bearing")
     return out.join(turned, "gg", "left").withColumn("stack_bearing", F.col("_bearing")).select(*out.columns)
 
 

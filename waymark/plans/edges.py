@@ -197,7 +197,7 @@ def build_from_files(spark: SparkSession, d: str) -> DataFrame:
     parsed = members.select(*(src.attribute(name).alias(c) for name, c in (("FEATUREID", "fid"), ("GG_NAME", "gg"), ("SIGNID", "sign_id"))), pos[0].alias("x"), pos[1].alias("y"))
     parsed.withColumn("category", F.lit(enrich.SIGN_LAYER)).write.parquet(f"{folder}/features")
     features = spark.read.parquet(f"{folder}/features")
-    nearest.face_bearings(nearest.nearest_segments(features, adapter.segments(spark, d))).write.parquet(f"{folder}/bearings")
+    nearest.nearest_bearings(features, adapter.segments(spark, d)).write.parquet(f"{folder}/bearings")
     bearings = spark.read.parquet(f"{folder}/bearings")
     asm.stack_assemblies(asm.catalogued_members(features, adapter.catalogue(spark, d)), bearings).write.parquet(f"{folder}/stacks")
     enriched = geo.to_wgs84(enrich.enriched(enrich.require_rows(features, "features"), bearings, spark.read.parquet(f"{folder}/stacks")))

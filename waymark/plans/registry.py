@@ -75,7 +75,7 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bearings(spark: SparkSession, d: str) -> DataFrame:
-    return nearest.face_bearings(nearest.nearest_segments(adapter.features(spark, d), adapter.segments(spark, d)))
+    return nearest.nearest_bearings(adapter.features(spark, d), adapter.segments(spark, d))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
