@@ -37,3 +37,11 @@ def test_no_pair_is_ranked_or_shuffled(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan
         assert "Join" not in plan
+
+
+def test_enrichment_searches_lines_for_the_sign_layer_and_first_members_only(spark):
+    from waymark.plans import registry
+
+    for name in ("enriched_features", "draw_order"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2
