@@ -94,9 +94,9 @@ def _rooted(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def write_members(members: DataFrame, path: str) -> None:
+def write_members(members: DataFrame, path: str, compression: str = "none") -> None:
     """``members(value)``, the text of one each, row by row into files that hold MEMBERS_PER_FILE at most under a root."""
-    members.mapInArrow(_rooted(MEMBERS_PER_FILE), "value string").write.option("maxRecordsPerFile", MEMBERS_PER_FILE).text(path)
+    members.mapInArrow(_rooted(MEMBERS_PER_FILE), "value string").write.option("maxRecordsPerFile", MEMBERS_PER_FILE).text(path, compression=compression)
 
 
 def parsed(members: DataFrame) -> DataFrame:
