@@ -242,3 +242,11 @@ def test_rules_of_a_drawing(spark):
     rows = sorted(tuple(r) for r in src.drawn_rules(pages).collect())
     assert [(p, k) for p, k, *_ in rows] == [(1, "h"), (1, "h"), (1, "v")]
     assert [v for r in rows for v in r[2:]] == pytest.approx([9, 2, 9, 99.95, 10, 18, 18, 80, 99.9])
+
+
+def test_wanted_members_are_ranked_among_all(spark):
+    """A post's members of other layers keep their places in the order, but only wanted ones are returned."""
+    m = spark.range(12).selectExpr("cast(id as string) fid", "cast(id div 4 as string) gg", "concat('S', id) sign_id", "1e0 x", "2e0 y", "cast(id % 4 as int) rank", "60 w", "120 h", "0 tier", "if(id % 2 = 1, 'a', 'b') category")
+    every, wanted = assemblies.stack_assemblies(m), assemblies.stack_assemblies(m, wanted=F.col("category") == "a")
+    assert wanted.columns == every.columns
+    assert {tuple(r) for r in wanted.collect()} == {tuple(r) for r in every.where("cast(fid as int) % 2 = 1").collect()}

@@ -50,3 +50,19 @@ def test_rows_without_the_item_of_a_lookup_are_spread_and_lookups_shared(spark):
         assert got == {("a", "a", True, 100), ("b", "b", True, 100), ("none", "other", False, 3800)}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Join") == 2
+
+
+def test_labels_of_an_expression_do_not_deal_rows_anew(spark):
+    """Between two lookups of one sign stands a match of many literal labels: rows are still dealt once, and carry no hash."""
+    rows = spark.range(400).selectExpr("id", "concat('S', id % 5) sign", "id % 30 off")
+    table = spark.createDataFrame([("S0", "a"), ("S1", "b")], "label string, output string")
+    many = ["match", ["get", "off"], *(v for k in range(20) for v in (k, k * 2)), -1]
+    found = {"g": ["match", ["get", "sign"], ["table", "t"], "none"], "m": many, "inside": ["in", ["get", "sign"], ["table", "u"]]}
+    with shuffled_joins(spark):
+        out = with_expressions(rows, found, tables={"t": table, "u": table.where("output = 'a'")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1
+        assert plan.count("Exchange hashpartitioning(_item0") == 1
+        assert "_spread" not in plan
+        got = {(r.id, r.g, r.m, r.inside) for r in out.collect()}
+    assert got == {(i, {0: "a", 1: "b"}.get(i % 5, "none"), float(i % 30 * 2) if i % 30 < 20 else -1.0, i % 5 == 0) for i in range(400)}
